@@ -53,3 +53,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; an upper-bound guide for broadcast decisions."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    import os
+    import shutil
+
+    context = spark.sparkContext
+    if getattr(context, "_sidforge_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="sidforge-"), "sidforge"), "zip", root, "sidforge")
+    context.addPyFile(archive)
+    context._sidforge_shipped = True
