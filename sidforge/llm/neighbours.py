@@ -17,6 +17,8 @@ from sidforge.session import materialize
 POSTS = 5
 #: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 8,192 x 64 floats.
 PIVOTS_PER_ROOT = 10
+#: Vectors per pivot at least; fewer would leave inverted lists too short to meet in.
+ROWS_PER_PIVOT = 40
 MIN_PIVOTS, MAX_PIVOTS = 16, 8_192
 #: Candidates of a query that one inverted list hands to the rerank; longer lists are ranked by footrule distance first.
 LIST_CANDIDATES = 1_536
@@ -131,7 +133,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
     n = base.count()
     if not n:
         return spark.createDataFrame([], "id string, rank int, neighbour string, similarity double")
-    m = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOTS_PER_ROOT * np.sqrt(n))))
+    m = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, min(PIVOTS_PER_ROOT * np.sqrt(n), n / ROWS_PER_PIVOT))))
     sample = base.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(m).collect()  # at most MAX_PIVOTS rows
     pivot_rows = spark.sparkContext.broadcast(unpack([r[0] for r in sample], dim))
     posts = min(posts, len(sample))

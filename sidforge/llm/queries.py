@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sidforge.functions.text import WHITESPACE, clean_id
 from sidforge.llm.leakage import leaked_passages
+from sidforge.llm.mixture import cluster_profiles, similarity_clusters
 from sidforge.llm.neighbours import nearest_neighbours, usable_vectors
 from sidforge.llm.pairs import associations, memberships, update_pairs
 from sidforge.llm.splitting import split_oversized
@@ -51,6 +52,20 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_vectors(spark, sf_dir), 5).withColumn("similarity", F.round("similarity", 4))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest member and each other member of every cluster."""
+    clusters = similarity_clusters(_vectors(spark, sf_dir), SAME)
+    return clusters.where("id != cluster").select(F.col("cluster").alias("pid_a"), F.col("id").alias("pid_b"))
+
+
+def p6_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical members of every cluster, with the codes of the most typical one."""
+    profiles = cluster_profiles(similarity_clusters(_vectors(spark, sf_dir), SAME))
+    codes = table(spark, sf_dir, "item_codes").select(clean_id("pid").alias("first"), "codes").where("first is not null and codes is not null")
+    codes = codes.groupBy("first").agg(F.min("codes").alias("codes"))
+    return profiles.withColumn("first", F.get("typical", F.lit(0))).join(codes, "first", "left").select("cluster", "size", "typical", "codes")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -104,6 +119,8 @@ QUERIES = {
     "p3_scores": p3_scores,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p6_found": p6_found,
+    "p6_profiles": p6_profiles,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
