@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from sidforge.session import materialize, scratch_path
 
-BUCKETS = 64
+BUCKETS = 48
 MIN_TOGETHER = 12
 MIN_LIFT = 5.0
 #: Baskets with more tracked items are kept as membership lists, see :class:`PairTable`.
 WIDE_ITEMS = 2_000
 #: Tracked items per block of a basket; pairs are emitted block against block, so a large basket is many rows.
 BLOCK_ITEMS = 256
+#: Tracked items up to which their numbers are broadcast (some 40 MB).
+BROADCAST_ITEMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -23,15 +25,17 @@ class PairTable:
     """The persistent state.
 
     ``baskets(basket, item)``: every distinct membership seen. ``marginals(item, n)``: baskets per item.
-    ``tracked(item)``: items whose pairs are counted. ``wide(basket, bit)``: the at most ``min_together - 1`` widest baskets
-    beyond ``WIDE_ITEMS`` tracked items; their pairs, quadratic in their size, are not emitted but counted exactly for the
-    pairs that can still reach ``min_together``. ``pairs(bucket, item_a, item_b, n)``: counts over all other baskets, in hash
-    buckets, item_a < item_b. ``n_baskets``: baskets in all.
+    ``tracked(item, code, live)``: items whose pairs are counted (live), and the number that stands for them.
+    ``kept(basket, code)``: the memberships of live items. ``wide(basket, bit)``: the at most ``min_together - 1`` widest
+    baskets beyond ``WIDE_ITEMS`` tracked items; their pairs, quadratic in their size, are not emitted but counted exactly for
+    the pairs that can still reach ``min_together``. ``pairs(a, b, n, bucket)``: counts over all other baskets by item number,
+    a < b, in hash buckets. ``n_baskets``: baskets in all.
     """
 
     baskets: DataFrame
     marginals: DataFrame
     tracked: DataFrame
+    kept: DataFrame
     wide: DataFrame
     pairs: DataFrame
     n_baskets: int
@@ -68,7 +72,7 @@ def update_pairs(
     baskets = materialize(baskets.distinct(), path=f"{path}/baskets")
 
     n_baskets = baskets.agg(F.count_distinct("basket")).first()[0]
-    # one signed row per membership that changed is merged into the marginals; at first that is every row
+    # every membership that changed is merged into the marginals with its sign; at first that is every membership
     if state is None:
         marginals = baskets.groupBy("item").agg(F.count("*").alias("n"))
     else:
@@ -76,69 +80,83 @@ def update_pairs(
         deltas = changes.groupBy("item").agg(F.sum("sign").alias("n"))
         marginals = state.marginals.unionByName(deltas).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
     marginals = materialize(marginals, path=f"{path}/marginals")
-    tracked = materialize(marginals.where((F.col("n") >= min_together) & (F.col("n") * min_lift <= n_baskets)).select("item"), path=f"{path}/tracked")
+    eligible = marginals.where((F.col("n") >= min_together) & (F.col("n") * min_lift <= n_baskets)).select("item")
+    tracked = materialize(_coded(eligible, None if state is None else state.tracked), path=f"{path}/tracked")
 
-    kept = baskets.join(tracked, "item", "left_semi")
-    sizes = kept.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > wide_items)
-    widest = sizes.orderBy(F.desc("n"), "basket").limit(max(0, min_together - 1)).select("basket").collect()  # at most min_together - 1 rows
-    basket_type = baskets.schema["basket"].dataType.simpleString()
-    wide = materialize(spark.createDataFrame([(r[0], i) for i, r in enumerate(widest)], f"basket {basket_type}, bit int"), path=f"{path}/wide")
+    # the part of the baskets that is counted, with item numbers instead of ids
+    kept = materialize(baskets.join(_small(tracked.where("live")), "item").select("basket", "code"), path=f"{path}/kept")
+    sizes = kept.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ITEMS)
+    sizes = materialize(sizes, path=f"{path}/sizes")
+    widest = sizes.where(F.col("n") > wide_items).orderBy(F.desc("n"), "basket").limit(max(0, min_together - 1)).collect()  # at most min_together - 1 rows
+    wide = materialize(spark.createDataFrame([(r[0], i) for i, r in enumerate(widest)], "basket string, bit int"), path=f"{path}/wide")
 
-    def narrow(all_baskets: DataFrame, items: DataFrame, without: DataFrame) -> DataFrame:
-        return all_baskets.join(items, "item", "left_semi").join(F.broadcast(without), "basket", "left_anti")
-
-    now = narrow(baskets, tracked, wide)
+    now = kept.join(F.broadcast(wide), "basket", "left_anti") if widest else kept
     if state is None:
-        deltas = signed_pairs(now.select("basket", "item", F.lit(1).alias("sign")), None)
+        deltas = signed_pairs(now.select("basket", "code", F.lit(1).alias("sign")), sizes)
     else:
-        before = narrow(state.baskets, state.tracked, state.wide)
-        changed = signed_difference(before, now)
-        stayed = now.join(changed.select("basket").distinct(), "basket", "left_semi").join(changed.where("sign > 0"), ["basket", "item"], "left_anti")
-        deltas = signed_pairs(changed, stayed)
-    bucket = F.pmod(F.xxhash64("item_a", "item_b"), F.lit(buckets)).cast("int").alias("bucket")
-    counted = deltas.groupBy("item_a", "item_b").agg(F.sum("sign").alias("n")).select(bucket, "item_a", "item_b", "n")
+        before = state.kept.join(F.broadcast(state.wide), "basket", "left_anti")
+        changed = materialize(signed_difference(before, now), "changed")
+        touched = now.join(changed.select("basket").distinct(), "basket", "left_semi")
+        stayed = touched.join(changed.where("sign > 0"), ["basket", "code"], "left_anti").select("basket", "code", F.lit(0).alias("sign"))
+        rows = changed.unionByName(stayed)
+        deltas = signed_pairs(rows, materialize(rows.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ITEMS), "sizes"))
+    counted = deltas.groupBy("a", "b").agg(F.sum("sign").alias("n"))
     if state is not None:
-        counted = state.pairs.unionByName(counted).groupBy("bucket", "item_a", "item_b").agg(F.sum("n").alias("n"))
-    counted = counted.where("n != 0")
+        counted = state.pairs.select("a", "b", "n").unionByName(counted).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    bucket = F.pmod(F.hash("a", "b"), F.lit(buckets)).alias("bucket")
     pairs_path = f"{path}/pairs"
-    counted.write.mode("overwrite").partitionBy("bucket").parquet(pairs_path)
-    schema = "item_a string, item_b string, n bigint, bucket int"
-    return PairTable(baskets, marginals, tracked, wide, spark.read.schema(schema).parquet(pairs_path), n_baskets)
+    counted.where("n != 0").select("a", "b", "n", bucket).write.mode("overwrite").partitionBy("bucket").parquet(pairs_path)
+    return PairTable(baskets, marginals, tracked, kept, wide, spark.read.schema("a int, b int, n bigint, bucket int").parquet(pairs_path), n_baskets)
+
+
+def _coded(eligible: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``item, code, live``: items keep the number they once got; new ones are numbered on, in parallel."""
+    first, fresh = 0, eligible
+    if known is not None:
+        first = (known.agg(F.max("code")).first()[0] or -1) + 1
+        fresh = eligible.join(known, "item", "left_anti")
+    numbered = fresh.rdd.map(lambda r: r[0]).zipWithIndex().toDF("item string, nth bigint").select("item", (F.col("nth") + first).cast("int").alias("code"), F.lit(True).alias("live"))
+    if known is None:
+        return numbered
+    live = eligible.withColumn("live", F.lit(True))
+    return known.drop("live").join(live, "item", "left").select("item", "code", F.coalesce("live", F.lit(False)).alias("live")).unionByName(numbered)
+
+
+def _small(items: DataFrame) -> DataFrame:
+    """``items`` marked for broadcast when it has at most BROADCAST_ITEMS rows, else left to a shuffled join."""
+    return F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items
 
 
 def signed_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Memberships only in ``after`` with sign 1, only in ``before`` with sign -1."""
-    both = before.select("basket", "item", F.lit(-1).alias("sign")).unionByName(after.select("basket", "item", F.lit(1).alias("sign")))
-    return both.groupBy("basket", "item").agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
+    both = before.withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1)))
+    return both.groupBy(*before.columns).agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
 
 
-def signed_pairs(changed: DataFrame, stayed: DataFrame | None) -> DataFrame:
-    """``item_a, item_b, sign`` of every pair that the changes touch.
+def signed_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``a, b, sign`` of every pair of codes that the changes in ``rows(basket, code, sign)`` touch; sign 0 is a member that stayed.
 
-    Per basket: a came or went together with a kept item, or two came, or two went. The items of a basket are put into
-    blocks of bounded size by hash, and each pair of blocks becomes one row, so no basket has to be emitted by one task.
+    Per basket: a came or went together with a kept item, or two came, or two went. ``sizes`` names the baskets of more than
+    one block; their items are put into blocks of bounded size by hash, and each pair of blocks is a row of its own, so no
+    task has to emit a whole large basket.
     """
-    rows = changed if stayed is None else changed.unionByName(stayed.select("basket", "item", F.lit(0).alias("sign")))
-    sizes = rows.groupBy("basket").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > BLOCK_ITEMS).select("basket", F.ceil(F.col("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    small = rows.join(large, "basket", "left_anti")
-    entry = F.struct("item", "sign").alias("e")
-    whole = small.select("basket", entry).groupBy("basket").agg(F.sort_array(F.collect_list("e")).alias("left")).where(F.size("left") > 1)
-    within = whole.select(F.col("left"), F.lit(True).alias("same"), F.col("left").alias("right"))
-    # baskets of more than one block
-    placed = rows.join(large, "basket").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    blocks = placed.groupBy("basket", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("item", "sign"))).alias("left"))
-    first = blocks.select("basket", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "left")
-    second = blocks.select("basket", F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("block").alias("other"), F.col("left").alias("right"))
-    across = first.join(second, ["basket", "block", "other"]).select("left", (F.col("block") == F.col("other")).alias("same"), "right")
-    either = within.unionByName(across)
+    large = sizes.select("basket", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    entries = F.sort_array(F.collect_list(F.struct("code", "sign")))
+    some = not large.isEmpty()
+    small = rows.join(large, "basket", "left_anti") if some else rows
+    either = small.groupBy("basket").agg(entries.alias("left")).where(F.size("left") > 1).select("left", F.lit(True).alias("same"), F.col("left").alias("right"))
+    if some:
+        placed = rows.join(large, "basket").withColumn("block", F.pmod(F.hash("code"), F.col("blocks")))
+        blocks = materialize(placed.groupBy("basket", "block", "blocks").agg(entries.alias("left")), "blocks")
+        first = blocks.select("basket", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "left")
+        second = blocks.select("basket", F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("block").alias("other"), F.col("left").alias("right"))
+        either = either.unionByName(first.join(second, ["basket", "block", "other"]).select("left", (F.col("block") == F.col("other")).alias("same"), "right"))
     singles = either.select(F.posexplode("left").alias("at", "x"), "same", "right")
-    others = F.when(F.col("same"), F.slice("right", F.col("at") + 2, F.greatest(F.size("right") - F.col("at") - 1, F.lit(0)))).otherwise(F.col("right"))
+    others = F.when(F.col("same"), F.slice("right", F.col("at") + 2, F.size("right"))).otherwise(F.col("right"))
     pairs = singles.select("x", F.explode(others).alias("y"))
-    # signs: +1 or -1 alone with a kept item, the common sign when both changed alike; one came and one went: never together
+    # the sign of the change; one came and the other went: they never were together
     sign = F.when(F.col("x.sign") == F.col("y.sign"), F.col("x.sign")).when(F.col("x.sign") * F.col("y.sign") == 0, F.col("x.sign") + F.col("y.sign")).otherwise(0)
-    went_with_kept = F.least("x.item", "y.item").alias("item_a"), F.greatest("x.item", "y.item").alias("item_b")
-    return pairs.select(*went_with_kept, sign.cast("bigint").alias("sign")).where("sign != 0")
+    return pairs.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b"), sign.alias("sign")).where("sign != 0")
 
 
 def associations(state: PairTable, min_together: int = MIN_TOGETHER, min_lift: float = MIN_LIFT) -> DataFrame:
@@ -147,16 +165,22 @@ def associations(state: PairTable, min_together: int = MIN_TOGETHER, min_lift: f
     ``expected`` is n_a * n_b / n_baskets, ``lift`` the ratio of n_together to it. The wide baskets' contribution is added
     here: each item carries a bit per wide basket, and two items share as many of these baskets as their bits agree.
     """
-    bits = state.baskets.join(F.broadcast(state.wide), "basket").groupBy("item").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    items = state.tracked.join(state.marginals, "item").join(bits, "item", "left").select("item", "n", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
     spare = state.wide.count()
-    a = items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"), F.col("mask").alias("mask_a"))
-    b = items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"), F.col("mask").alias("mask_b"))
-    likely = state.pairs.where(F.col("n") >= min_together - spare)
-    scored = likely.join(a, "item_a").join(b, "item_b").withColumn("n_together", F.col("n") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))))
+    likely = materialize(state.pairs.where(F.col("n") >= min_together - spare).select("a", "b", "n"), "likely")
+    items = state.tracked.where("live").join(state.marginals, "item").select("code", "item", F.col("n").alias("n_item"))
+    if spare:
+        bits = state.kept.join(F.broadcast(state.wide), "basket").groupBy("code").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        items = items.join(bits, "code", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("bigint")))
+    else:
+        items = items.withColumn("mask", F.lit(0).cast("bigint"))
+    end = lambda x: items.select(F.col("code").alias(x), F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}"), F.col("mask").alias(f"mask_{x}"))
+    scored = likely.join(end("a"), "a").join(end("b"), "b").withColumn("n_together", F.col("n") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))))
     product = F.col("n_a").cast("double") * F.col("n_b")
+    swap = F.col("item_a") > F.col("item_b")
+    ordered = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     return scored.where((F.col("n_together") >= min_together) & (F.col("n_together") * F.lit(float(state.n_baskets)) >= min_lift * product)).select(
-        "item_a", "item_b", "n_together", "n_a", "n_b", (product / state.n_baskets).alias("expected"), (F.col("n_together") * F.lit(float(state.n_baskets)) / product).alias("lift")
+        ordered("item_a", "item_b"), ordered("item_b", "item_a"), "n_together", ordered("n_a", "n_b"), ordered("n_b", "n_a"),
+        (product / state.n_baskets).alias("expected"), (F.col("n_together") * F.lit(float(state.n_baskets)) / product).alias("lift"),
     )
 
 
