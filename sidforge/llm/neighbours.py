@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from sidforge.session import materialize
 
 #: Pivots a vector is posted under, which is also the length of the permutations that footrule distances compare.
-POSTS = 5
+POSTS = 4
 #: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 8,192 x 64 floats.
-PIVOTS_PER_ROOT = 10
+PIVOTS_PER_ROOT = 12
 #: Vectors per pivot at least; fewer would leave inverted lists too short to meet in.
-ROWS_PER_PIVOT = 40
+ROWS_PER_PIVOT = 32
 MIN_PIVOTS, MAX_PIVOTS = 16, 8_192
 #: Candidates of a query that one inverted list hands to the rerank; longer lists are ranked by footrule distance first.
 LIST_CANDIDATES = 1_536
@@ -127,14 +127,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
     """
     spark = vectors.sparkSession
     base = materialize(vectors.select("id", "vec"), "vectors")
-    # copies: the smallest ids stand for all
-    groups = base.groupBy("vec").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    distinct = groups.select("id", "vec", "n")
     n = base.count()
     if not n:
         return spark.createDataFrame([], "id string, rank int, neighbour string, similarity double")
+    copies = equal_vectors(base)
+    distinct = without_copies(base, copies)
     m = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, min(PIVOTS_PER_ROOT * np.sqrt(n), n / ROWS_PER_PIVOT))))
-    sample = base.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(m).collect()  # at most MAX_PIVOTS rows
+    sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(m).collect()  # at most MAX_PIVOTS rows
     pivot_rows = spark.sparkContext.broadcast(unpack([r[0] for r in sample], dim))
     posts = min(posts, len(sample))
 
@@ -185,16 +184,34 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
     merged = found.select("id", F.zip_with("near", "sims", entry).alias("e")).groupBy("id").agg(F.flatten(F.collect_list("e")).alias("e"))
     merged = merged.select("id", F.slice(F.array_sort(F.array_distinct("e")), 1, k).alias("e"))
     links = merged.select("id", F.explode("e").alias("e")).select("id", F.col("e.near").alias("near"), (-F.col("e.minus")).cast("double").alias("similarity"))
-    return _with_copies(base, groups, links, k)
+    return _with_copies(base, copies, links, k)
 
 
-def _with_copies(base: DataFrame, groups: DataFrame, links: DataFrame, k: int) -> DataFrame:
+def fingerprint() -> Column:
+    """96 bits that equal vectors have in common."""
+    return F.struct(F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
+
+
+def equal_vectors(base: DataFrame) -> DataFrame:
+    """``print, representative`` of the vectors that occur more than once; the smallest id stands for all. Only prints are shuffled."""
+    prints = base.select(fingerprint().alias("print"), "id").groupBy("print").agg(F.count("*").alias("n"), F.min("id").alias("representative"))
+    return materialize(prints.where("n > 1").select("print", "representative"), "copies")
+
+
+def without_copies(base: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``base`` that stand for themselves or for their copies."""
+    if copies.isEmpty():
+        return base
+    marked = base.withColumn("print", fingerprint()).join(copies, "print", "left")
+    return marked.where("representative is null or representative = id").select("id", "vec")
+
+
+def _with_copies(base: DataFrame, copies: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """Expand links between representatives to all ids: copies first, then the neighbours' copies, cut at ``k``."""
-    by_rank = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), "neighbour")))
-    several = materialize(groups.where("n > 1").select("vec", F.col("id").alias("representative")), "copies")
-    if several.isEmpty():
+    if copies.isEmpty():
         return _numbered(links.withColumnRenamed("near", "neighbour"), k)
-    members = base.join(several, "vec").select("id", "representative")
+    by_rank = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), "neighbour")))
+    members = base.select("id", fingerprint().alias("print")).join(copies, "print").select("id", "representative")
     order = W.partitionBy("representative").orderBy("id")
     # salted first k + 1 ids of each group: enough to name k others of any member
     salted = W.partitionBy("representative", "salt").orderBy("id")
