@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sidforge.functions.text import WHITESPACE, clean_id
 from sidforge.llm.leakage import leaked_passages
+from sidforge.llm.listings import product_groups
 from sidforge.llm.mixture import cluster_profiles, similarity_clusters
 from sidforge.llm.neighbours import nearest_neighbours, usable_vectors
 from sidforge.llm.pairs import associations, memberships, update_pairs
@@ -22,6 +23,22 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memberships(rows, clean_id("user_id"), clean_id("parent_asin"))
 
 
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "item_meta").withColumn("pid", clean_id("parent_asin"))
+    return product_groups(rows, "pid", "row_no", "title", "store", "description", "categories")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of one product."""
+    groups = _products(spark, sf_dir)
+    return groups.select(F.col("id").alias("item_a"), "product").join(groups.select(F.col("id").alias("item_b"), "product"), "product").where("item_a < item_b").select("item_a", "item_b")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product of every listing."""
+    return _products(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items that users touch together much more often than by chance."""
     return associations(update_pairs(spark, None, _visits(spark, sf_dir))).select("item_a", "item_b")
@@ -115,6 +132,8 @@ with visits as (
 """
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p5_found": p5_found,
