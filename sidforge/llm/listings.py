@@ -59,10 +59,12 @@ TRAINING_ROWS = 4_096
 STEPS = 150
 BATCH = 256
 #: Cosine from which a neighbour is a candidate; its attributes and names decide.
-NEAR = 0.5
+NEAR = 0.65
+#: Difference of two log sizes that rounding in another unit explains.
+SIZE_SLACK = 0.03
 #: The rows whose exact neighbours tune the number of probes, and the share of neighbours that must be found.
-TUNING_ROWS = 128
-TUNING_RECALL = 0.99
+TUNING_ROWS = 512
+TUNING_RECALL = 0.98
 LIST_ROWS = 256
 MAX_LISTS = 4_096
 TILE_ROWS = 8_192
@@ -381,10 +383,11 @@ def product_groups(df: DataFrame, key: str, line_no: str, title: str, store: str
     (converted to base units), colour, pack count, and whether it is a part for the thing. Lines that tell no line and no
     code (also those with nothing but the id) are no product and get no row.
 
-    Listings whose readings are equal are one entry. The entries' names go through a contrastively trained subword encoder
-    into an inverted file; the number of probed lists is raised until the exact neighbours of a sample are found. Neighbours
-    are vetoed when size (3 %), pack, colour, kind, part, maker or code differ, or when the line names are more than slips
-    apart. Entries that are in each other's remaining neighbours are linked, and linked entries are one product.
+    Listings whose readings are equal are one entry. The names of the entries (maker, line, kind) go through a contrastively
+    trained subword encoder into an inverted file; the number of probed lists is raised until the exact neighbours of a sample
+    are found. Neighbours are vetoed when maker or kind differ or when the line names are more than slips apart; names that
+    are in each other's remaining neighbours are spellings of one. Entries of one name or its spellings are linked unless
+    size (3 %), pack, colour, part or code veto it, and linked entries are one product.
 
     Equal inputs give equal groups; ties can't arise. An empty table gives an empty result. Extra columns are ignored.
     """
@@ -403,21 +406,34 @@ def product_groups(df: DataFrame, key: str, line_no: str, title: str, store: str
 
     told = materialize(latest.mapInPandas(read, f"id string, {_FIELDS}"), "told")
     signature = ["brand", "series", "kind", "code", "part", "size_kind", "size", "colour", "pack"]
-    entries = materialize(told.groupBy(*signature).agg(F.min("id").alias("id")), "entries")
-    n = entries.count()
+    entries = told.groupBy(*signature).agg(F.min("id").alias("id"))
+    line = F.concat_ws(" ", F.when(F.col("brand") != "", F.col("brand")), F.coalesce(F.when(F.col("series") != "", F.col("series")), F.col("code")), F.when(F.col("kind") >= 0, F.concat(F.lit("kind"), "kind")))
+    entries = materialize(entries.withColumn("line", line), "entries")
+    lines = entries.select("line", "brand", "series", "kind", F.when(F.col("series") == "", F.col("code")).otherwise("").alias("code")).distinct()
+    lines = materialize(lines, "lines")
+    n = lines.count()
     if not n:
         return spark.createDataFrame([], "id string, product string")
-    links = near_duplicates(entries, n, near, tile_rows)
+    slips = near_lines(lines, n, near, tile_rows)
+    links = entry_links(entries, lines, slips)
     components = connected_components(links)
     named = entries.join(components.withColumnRenamed("node", "id"), "id", "left").select(*signature, F.coalesce("component", "id").alias("product"))
-    groups = told.join(named, signature).select("id", "product")
-    least = groups.groupBy("product").agg(F.min("id").alias("least"))
-    return groups.join(least, "product").select("id", F.col("least").alias("product"))
+    # the entry's smallest id stands for it, so a product's name is the smallest id of all its listings
+    return told.join(named, signature).select("id", "product")
 
 
-def entry_text(brand: str, series: str, code: str, kind: int) -> str:
-    """The names of an entry, which the encoder reads."""
-    return " ".join(x for x in (brand, series or code, f"kind{kind}" if kind >= 0 else "") if x)
+def entry_links(entries: DataFrame, lines: DataFrame, slips: DataFrame) -> DataFrame:
+    """``a, b``: entries of one line, or of lines that are spellings of one, whose numbers and words agree."""
+    pairs_of_lines = slips.select("a", "b").unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(lines.select(F.col("line").alias("a"), F.col("line").alias("b")).distinct())
+    facts = ["part", "pack", "colour", "size_kind"]
+    side = lambda x: entries.select(F.col("id").alias(f"id_{x}"), F.col("line").alias(x), *facts, F.col("size").alias(f"size_{x}"), F.col("code").alias(f"code_{x}"))
+    joined = side("a").join(pairs_of_lines, "a").join(side("b"), ["b", *facts])
+    same_size, same_code = F.abs(F.col("size_a") - F.col("size_b")) <= SIZE_SLACK, (F.col("code_a") == F.col("code_b")) | (F.col("code_a") == "") | (F.col("code_b") == "")
+    by_line = joined.where((F.col("id_a") < F.col("id_b")) & same_size & same_code).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # a listing that names no line, only a code
+    coded = entries.where("series = '' and code != ''").select(F.col("id").alias("a"), "code", *facts, F.col("size").alias("size_a"))
+    others = entries.where("series != '' and code != ''").select(F.col("id").alias("b"), "code", *facts, F.col("size").alias("size_b"))
+    return by_line.unionByName(coded.join(others, ["code", *facts]).where(same_size).select("a", "b"))
 
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -431,19 +447,19 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def near_duplicates(entries: DataFrame, n: int, near: float, tile_rows: int) -> DataFrame:
-    """``a, b``: mutual neighbours among the entries that no veto parts."""
-    spark = entries.sparkSession
-    by_hash = entries.orderBy(F.xxhash64("id"), "id")
-    texts = [entry_text(r["brand"], r["series"], r["code"], r["kind"]) for r in by_hash.select("brand", "series", "code", "kind").limit(TRAINING_ROWS).collect()]
+def near_lines(lines: DataFrame, n: int, near: float, tile_rows: int) -> DataFrame:
+    """``a, b``: mutual neighbours among the lines that no veto parts."""
+    spark = lines.sparkSession
+    texts = [r[0] for r in lines.select("line").orderBy(F.xxhash64("line"), "line").limit(TRAINING_ROWS).collect()]
     encoder = spark.sparkContext.broadcast(Encoder().train(sorted(set(texts))))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            v = encoder.value([entry_text(*x) for x in zip(frame["brand"], frame["series"], frame["code"], frame["kind"])]).astype(np.float16)
+            v = encoder.value(frame["line"].tolist()).astype(np.float16)
             yield frame.assign(vec=[r.tobytes() for r in v])
 
-    coded = materialize(entries.mapInPandas(encode, f"{_FIELDS}, id string, vec binary"), "coded")
+    fields = "line string, brand string, series string, kind int, code string, vec binary"
+    coded = materialize(lines.mapInPandas(encode, fields), "coded")
     unpack = lambda column: np.frombuffer(b"".join(column), np.float16).reshape(-1, DIM).astype(np.float32)
     lists = int(np.clip(n / LIST_ROWS, 1, MAX_LISTS))
     sample = coded.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(65_536, 40 * lists)).collect()
@@ -458,14 +474,14 @@ def near_duplicates(entries: DataFrame, n: int, near: float, tile_rows: int) ->
             order = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
             yield frame.assign(probed=list(order))
 
-    posted = coded.mapInPandas(assign, f"{_FIELDS}, id string, vec binary, probed array<int>").select("*", F.posexplode("probed").alias("nth", "list")).drop("probed")
-    # an entry is a member of its first list and a query in all it probes; long lists are cut into tiles of members
+    posted = coded.mapInPandas(assign, f"{fields}, probed array<int>").select("*", F.posexplode("probed").alias("nth", "list")).drop("probed")
+    # a line is a member of its first list and a query in all it probes; long lists are cut into tiles of members
     lengths = {r[0]: r[1] for r in posted.where("nth = 0").groupBy("list").count().collect()}  # one row per list
     long = {k: -(-v // tile_rows) for k, v in lengths.items() if v > tile_rows}
     posted = posted.withColumn("tile", F.lit(0))
     if long:
         t = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in long.items() for x in kv]), F.col("list")), F.lit(1))
-        side = F.pmod(F.xxhash64("id"), t).cast("int")
+        side = F.pmod(F.xxhash64("line"), t).cast("int")
         posted = posted.withColumn("tiles", t).withColumn("side", side)
         # a pair of tiles (query side, member side) is a group
         posted = posted.withColumn("tile", F.explode(F.array_distinct(F.concat(
@@ -476,7 +492,7 @@ def near_duplicates(entries: DataFrame, n: int, near: float, tile_rows: int) ->
         posted = posted.withColumn("side", F.lit(0))
 
     def search(group: pa.Table) -> pa.Table:
-        g = {c: np.array(group.column(c).to_pylist(), dtype=object if c in ("id", "brand", "series", "code", "size_kind", "colour") else None) for c in group.column_names if c != "vec"}
+        g = {c: np.array(group.column(c).to_pylist(), dtype=object if c in ("line", "brand", "series", "code") else None) for c in group.column_names if c != "vec"}
         x = unpack(group.column("vec").to_pylist())
         from_side, to_side = divmod(int(g["tile"][0]), 65536)
         queries, members = np.flatnonzero(g["side"] == from_side), np.flatnonzero((g["nth"] == 0) & (g["side"] == to_side))
@@ -485,19 +501,14 @@ def near_duplicates(entries: DataFrame, n: int, near: float, tile_rows: int) ->
             q = queries[at : at + 1024]
             i, j = np.nonzero(x[q] @ x[members].T >= near)
             i, j = q[i], members[j]
-            ok = (g["id"][i] != g["id"][j]) & (g["part"][i] == g["part"][j]) & (g["pack"][i] == g["pack"][j])
+            ok = (g["line"][i] != g["line"][j]) & ((g["kind"][i] == g["kind"][j]) | (g["kind"][i] < 0) | (g["kind"][j] < 0))
             i, j = i[ok], j[ok]
-            for c in ("colour", "size_kind", "brand", "code"):
-                known = (g[c][i] != "") & (g[c][j] != "")
-                ok = ~known | (g[c][i] == g[c][j])
-                i, j = i[ok], j[ok]
-            ok = ((g["kind"][i] == g["kind"][j]) | (g["kind"][i] < 0) | (g["kind"][j] < 0)) & (np.abs(g["size"][i] - g["size"][j]) <= 0.03)
-            i, j = i[ok], j[ok]
-            for p, q_ in zip(i.tolist(), j.tolist()):
-                one, two = g["series"][p], g["series"][q_]
-                if same_line(one, two) if one and two else g["code"][p] == g["code"][q_] != "":
-                    a.append(g["id"][p])
-                    b.append(g["id"][q_])
+            ok = (g["brand"][i] == g["brand"][j]) | (g["brand"][i] == "") | (g["brand"][j] == "")
+            for p, r in zip(i[ok].tolist(), j[ok].tolist()):
+                one, two = g["series"][p], g["series"][r]
+                if same_line(one, two) if one and two else g["code"][p] == g["code"][r] != "":
+                    a.append(g["line"][p])
+                    b.append(g["line"][r])
         return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
     directed = posted.groupBy("list", "tile").applyInArrow(search, "a string, b string").distinct()
@@ -506,18 +517,18 @@ def near_duplicates(entries: DataFrame, n: int, near: float, tile_rows: int) ->
 
 
 def tuned_probes(coded: DataFrame, centroids: np.ndarray, near: float, unpack) -> int:  # noqa: ANN001
-    """The least power of two of probed lists with which the exact neighbours of a sample of entries are found."""
-    sample = coded.select("vec").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(TUNING_ROWS).collect()
+    """The least power of two of probed lists with which the exact neighbours of a sample of lines are found."""
+    sample = coded.select("vec").orderBy(F.xxhash64("line", F.lit(3)), "line").limit(TUNING_ROWS).collect()
     queries = unpack([r[0] for r in sample])
-    order = np.argsort(-(queries @ centroids.T), axis=1, kind="stable")
-    rank = np.argsort(order, axis=1)
+    rank = np.argsort(np.argsort(-(queries @ centroids.T), axis=1, kind="stable"), axis=1)
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(rank.shape[1], np.int64)
         for frame in frames:
             x = unpack(frame["vec"])
             own = (x @ centroids.T).argmax(axis=1)
-            q, j = np.nonzero(queries @ x.T >= max(near, 0.6))
+            s = queries @ x.T
+            q, j = np.nonzero((s >= near) & (s < 0.999))
             seen += np.bincount(rank[q, own[j]], minlength=len(seen))
         hit = np.flatnonzero(seen)
         yield pd.DataFrame({"place": hit, "n": seen[hit]})
