@@ -38,3 +38,29 @@ def epoch_millis(col: Column | str, first_year: int = 2018, last_year: int = 204
     low = F.unix_millis(F.lit(f"{first_year}-01-01T00:00:00Z").cast("timestamp"))
     high = F.unix_millis(F.lit(f"{last_year + 1}-01-01T00:00:00Z").cast("timestamp"))
     return F.when((millis >= low) & (millis < high), millis)
+
+
+def _listed(col: Column | str, separator: str, most: int) -> Column:
+    """The first ``most`` non-blank elements, trimmed and joined; null elements read as the text "None"."""
+    elements = F.transform(col, lambda x: pytrim(F.coalesce(x, F.lit("None"))))
+    return F.coalesce(F.array_join(F.slice(F.filter(elements, lambda x: x != ""), 1, most), separator), F.lit(""))
+
+
+def item_text(item_id: Column | str = "parent_asin") -> Column:
+    """Text of a metadata row: one labelled line per non-empty field, in fixed order.
+
+    Reads title, store, main_category, categories (10 at most), features (8), description (4). Null and blank fields give no
+    line; a row without any gives ``Item id: <id>``.
+    """
+    single = [("Title", "title"), ("Store", "store"), ("Main category", "main_category")]
+    several = [("Categories", "categories", "; ", 10), ("Features", "features", "; ", 8), ("Description", "description", " ", 4)]
+    values = [(label, F.coalesce(pytrim(c), F.lit(""))) for label, c in single]
+    values += [(label, _listed(c, separator, most)) for label, c, separator, most in several]
+    lines = F.concat_ws("\n", *(F.when(value != "", F.concat(F.lit(f"{label}: "), value)) for label, value in values))
+    identity = F.col(item_id) if isinstance(item_id, str) else item_id
+    return F.when(lines != "", lines).otherwise(F.concat(F.lit("Item id: "), F.coalesce(identity, F.lit(""))))
+
+
+def strict_json(text: Column) -> Column:
+    """Variant of a JSON text, null when the text is anything else; what follows a JSON value makes it something else."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$.v", "variant")
