@@ -56,6 +56,17 @@ def unpack(column: pd.Series | list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float16).reshape(-1, dim).astype(np.float32)
 
 
+def unpack_arrow(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """As :func:`unpack`, straight from the buffers of an Arrow column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    if not len(column):
+        return np.zeros((0, dim), np.float32)
+    start = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.float16, len(column) * dim, int(start)).reshape(-1, dim).astype(np.float32)
+
+
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Footrule distances between two sets of truncated permutations (rows of pivot numbers); a missing pivot counts as last."""
     length = a.shape[1]
@@ -163,7 +174,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
 
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_pylist()
-        x = unpack(group.column("vec").to_pylist(), dim)
+        x = unpack_arrow(group.column("vec"), dim)
         perms = np.array(group.column("perm").to_pylist(), np.int16).reshape(len(ids), -1)
         own, tile = group.column("own").to_numpy(), int(group.column("tile")[0].as_py())
         first, second = divmod(tile, 65536)
