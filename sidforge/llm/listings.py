@@ -255,10 +255,13 @@ class Encoder:
         return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
     def train(self, texts: list[str], steps: int = STEPS, batch: int = BATCH, temperature: float = 0.1, rate: float = 0.05) -> Encoder:
-        """Contrastive training on ``texts``: the other texts of a batch are the negatives."""
+        """Contrastive training on ``texts``: the other texts of a batch are the negatives.
+
+        One step for eight texts at most; with few texts, more steps would part a name from its own spellings.
+        """
         rng = np.random.default_rng(23)
         history = np.full((BUCKETS, 1), 1e-6, np.float32)
-        for _ in range(steps if len(texts) > 1 else 0):
+        for _ in range(min(steps, len(texts) // 8)):
             chosen = [texts[i] for i in rng.choice(len(texts), min(batch, len(texts)), replace=False)]
             both = [*chosen, *(slip(t, rng) for t in chosen)]
             sums, flat, sizes = self._sums(both)
@@ -316,7 +319,7 @@ def learn_words(rows: DataFrame) -> Words:
     A maker is a shop name of one word that occurs twice. A kind is a last category that occurs at least twice and in one of
     2,000 listings; kinds that listings use side by side in at least a tenth of the rarer one's listings mean the same. A
     word is common when descriptions twice use it in lower case, or when it is in one of 250 titles (in small catalogues: in
-    30, or one of 50). What comes to the driver is vocabulary, whose size these shares bound, not rows.
+    30, or one of 50) and descriptions don't state it as the name of a line. What comes to the driver is vocabulary, whose size these shares bound, not rows.
     """
     n = rows.count()
 
@@ -333,17 +336,22 @@ def learn_words(rows: DataFrame) -> Words:
                     counts["kind", plain(leaf)] += 1
                 for w in set(_WORD.findall(plain(title or ""))):
                     counts["title", w] += 1
-                for w in {w for s in statements(description) for w in _WORD.findall(s) if w.islower()}:
+                said = statements(description)
+                for w in {w for s in said for w in _WORD.findall(s) if w.islower()}:
                     counts["lower", w] += 1
+                for w in {plain(m[r]).strip(".,") for s in said for pattern, (_, r) in _SAYS_NAME for m in [pattern.search(s)] if m}:
+                    counts["line", w] += 1
             yield pd.DataFrame([(k, w, c) for (k, w), c in counts.items()], columns=["what", "word", "n"])
 
-    counted = rows.mapInPandas(tokens, "what string, word string, n bigint").groupBy("what", "word").agg(F.sum("n").alias("n"))
-    often = max(0.004 * n, min(30, 0.02 * n))
-    least = {"brand": 2, "kind": max(2, 0.0005 * n), "title": max(2, often), "lower": max(2, 0.00001 * n)}
-    kept = counted.where(F.expr(" or ".join(f"(what = '{k}' and n >= {v})" for k, v in least.items()))).collect()
-    by = defaultdict(set)
-    for r in kept:
-        by[r["what"]].add(r["word"])
+    often = max(2, 0.004 * n, min(30, 0.02 * n))
+    least = {"brand": 2, "kind": max(2, 0.0005 * n), "title": often, "lower": max(2, 0.00001 * n)}
+    of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    counted = rows.mapInPandas(tokens, "what string, word string, n bigint").groupBy("word").agg(*((of(k) >= v).alias(k) for k, v in least.items() if k != "title"), ((of("title") >= often) & (of("line") * 20 < of("title"))).alias("title"))
+    by: dict[str, set[str]] = defaultdict(set)
+    for r in counted.where("brand or kind or title or lower").collect():
+        for k in least:
+            if r[k]:
+                by[k].add(r["word"])
     names = sorted(by["kind"])
     first = Words(by["brand"], {k: i for i, k in enumerate(names)}, set())
 
