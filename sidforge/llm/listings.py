@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidforge.llm.graph import connected_components
+from sidforge.llm.tiles import directed_tiles
 from sidforge.session import materialize
 
 #: Factors to millilitres, millimetres and grams.
@@ -316,7 +317,7 @@ def same_line(a: str, b: str) -> bool:
 def learn_words(rows: DataFrame) -> Words:
     """Makers, kinds and common words from counts over the whole catalogue.
 
-    A maker is a shop name of one word that occurs twice. A kind is a last category that occurs at least twice and in one of
+    A maker is a shop name of one word that occurs twice and in one of a million listings. A kind is a last category that occurs at least twice and in one of
     2,000 listings; kinds that listings use side by side in at least a tenth of the rarer one's listings mean the same. A
     word is common when descriptions twice use it in lower case, or when it is in one of 250 titles (in small catalogues: in
     30, or one of 50) and descriptions don't state it as the name of a line. What comes to the driver is vocabulary, whose size these shares bound, not rows.
@@ -344,7 +345,7 @@ def learn_words(rows: DataFrame) -> Words:
             yield pd.DataFrame([(k, w, c) for (k, w), c in counts.items()], columns=["what", "word", "n"])
 
     often = max(2, 0.004 * n, min(30, 0.02 * n))
-    least = {"brand": 2, "kind": max(2, 0.0005 * n), "title": often, "lower": max(2, 0.00001 * n)}
+    least = {"brand": max(2, 0.000001 * n), "kind": max(2, 0.0005 * n), "title": often, "lower": max(2, 0.00001 * n)}
     of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
     counted = rows.mapInPandas(tokens, "what string, word string, n bigint").groupBy("word").agg(*((of(k) >= v).alias(k) for k, v in least.items() if k != "title"), ((of("title") >= often) & (of("line") * 20 < of("title"))).alias("title"))
     by: dict[str, set[str]] = defaultdict(set)
@@ -486,24 +487,13 @@ def near_lines(lines: DataFrame, n: int, near: float, tile_rows: int) -> DataFra
     # a line is a member of its first list and a query in all it probes; long lists are cut into tiles of members
     lengths = {r[0]: r[1] for r in posted.where("nth = 0").groupBy("list").count().collect()}  # one row per list
     long = {k: -(-v // tile_rows) for k, v in lengths.items() if v > tile_rows}
-    posted = posted.withColumn("tile", F.lit(0))
-    if long:
-        t = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in long.items() for x in kv]), F.col("list")), F.lit(1))
-        side = F.pmod(F.xxhash64("line"), t).cast("int")
-        posted = posted.withColumn("tiles", t).withColumn("side", side)
-        # a pair of tiles (query side, member side) is a group
-        posted = posted.withColumn("tile", F.explode(F.array_distinct(F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.col("side") * 65536 + o),
-            F.when(F.col("nth") == 0, F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o * 65536 + F.col("side"))).otherwise(F.array().cast("array<int>")),
-        ))))
-    else:
-        posted = posted.withColumn("side", F.lit(0))
+    posted = directed_tiles(posted.withColumn("member", F.col("nth") == 0), "list", long, "member", "line")
 
     def search(group: pa.Table) -> pa.Table:
         g = {c: np.array(group.column(c).to_pylist(), dtype=object if c in ("line", "brand", "series", "code") else None) for c in group.column_names if c != "vec"}
         x = unpack(group.column("vec").to_pylist())
         from_side, to_side = divmod(int(g["tile"][0]), 65536)
-        queries, members = np.flatnonzero(g["side"] == from_side), np.flatnonzero((g["nth"] == 0) & (g["side"] == to_side))
+        queries, members = np.flatnonzero(g["side"] == from_side), np.flatnonzero(g["member"] & (g["side"] == to_side))
         a, b = [], []
         for at in range(0, len(queries) if len(members) else 0, 1024):
             q = queries[at : at + 1024]

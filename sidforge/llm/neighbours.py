@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sidforge.llm.tiles import paired_tiles
 from sidforge.session import materialize
 
 #: Pivots a vector is posted under, which is also the length of the permutations that footrule distances compare.
@@ -162,21 +163,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
     # at most one row per pivot comes to the driver
     lengths = {r[0]: r[1] for r in permuted.select(F.explode("perm").alias("p")).groupBy("p").count().collect()}
     long = {p: -(-c // tile_rows) for p, c in lengths.items() if c > tile_rows}
-    posted = permuted.select("id", "vec", "perm", F.explode("perm").alias("list"))
-    if long:
-        tiles = F.create_map(*[F.lit(x) for p, c in long.items() for x in (p, c)])
-        t = F.coalesce(F.try_element_at(tiles, F.col("list").cast("int")), F.lit(1))
-        own = F.pmod(F.xxhash64("id"), t).cast("int")
-        pairs_of_tiles = F.transform(F.sequence(F.lit(0), t - 1), lambda o: F.least(o, own) * 65536 + F.greatest(o, own))
-        posted = posted.withColumn("own", own).withColumn("tile", F.explode(pairs_of_tiles))
-    else:
-        posted = posted.select("*", F.lit(0).alias("own"), F.lit(0).alias("tile"))
+    posted = paired_tiles(permuted.select("id", "vec", "perm", F.explode("perm").alias("list")), "list", long)
 
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_pylist()
         x = unpack_arrow(group.column("vec"), dim)
         perms = np.array(group.column("perm").to_pylist(), np.int16).reshape(len(ids), -1)
-        own, tile = group.column("own").to_numpy(), int(group.column("tile")[0].as_py())
+        own, tile = group.column("side").to_numpy(), int(group.column("tile")[0].as_py())
         first, second = divmod(tile, 65536)
         out_q, out_n, out_s = [], [], []
         sides = [(own == first, own == second)] if first == second else [(own == first, own == second), (own == second, own == first)]

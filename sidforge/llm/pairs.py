@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sidforge.session import materialize, scratch_path
@@ -16,6 +17,8 @@ MIN_LIFT = 5.0
 WIDE_ITEMS = 2_000
 #: Tracked items per block of a basket; pairs are emitted block against block, so a large basket is many rows.
 BLOCK_ITEMS = 256
+#: Hash parts in which new items are numbered.
+PARTS = 64
 #: Tracked items up to which their numbers are broadcast (some 40 MB).
 BROADCAST_ITEMS = 500_000
 
@@ -110,12 +113,21 @@ def update_pairs(
 
 
 def _coded(eligible: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``item, code, live``: items keep the number they once got; new ones are numbered on, in parallel."""
+    """``item, code, live``: items keep the number they once got; new ones are numbered on, in hash parts side by side."""
     first, fresh = 0, eligible
     if known is not None:
-        first = (known.agg(F.max("code")).first()[0] or -1) + 1
+        last = known.agg(F.max("code")).first()[0]
+        first = 0 if last is None else last + 1
         fresh = eligible.join(known, "item", "left_anti")
-    numbered = fresh.rdd.map(lambda r: r[0]).zipWithIndex().toDF("item string, nth bigint").select("item", (F.col("nth") + first).cast("int").alias("code"), F.lit(True).alias("live"))
+    parts = fresh.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int"))
+    sizes = {r[0]: r[1] for r in parts.groupBy("part").count().collect()}  # at most PARTS rows
+    starts, at = [], first
+    for part, n in sorted(sizes.items()):
+        starts.append((part, at))
+        at += n
+    offsets = F.broadcast(eligible.sparkSession.createDataFrame(starts, "part int, start bigint"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy("item")) - 1
+    numbered = parts.withColumn("nth", nth).join(offsets, "part").select("item", (F.col("start") + F.col("nth")).cast("int").alias("code"), F.lit(True).alias("live"))
     if known is None:
         return numbered
     live = eligible.withColumn("live", F.lit(True))
