@@ -56,3 +56,15 @@ def allowed_tokens(queries: DataFrame, table: DataFrame, prefix: str = "prefix")
     """``queries`` with ``allowed``; an unknown prefix allows nothing."""
     joined = queries.join(table.select(F.col("prefix").alias("_p"), "allowed"), F.col(prefix) == F.col("_p"), "left").drop("_p")
     return joined.withColumn("allowed", F.coalesce("allowed", F.array().cast("array<bigint>")))
+
+
+def selected_rows(resolved: DataFrame, layers: list[int]) -> DataFrame:
+    """``token_id``: distinct ids of the given layers' tokens, the rows that a row-only training may change."""
+    return resolved.where(F.col("layer").isin(layers)).select("token_id").distinct()
+
+
+def trainable_elements(n_rows: int, width: int, shared: bool) -> int:
+    """Numbers that such a training may change: rows times width, twice when the output matrix is one of its own."""
+    if n_rows <= 0 or width <= 0:
+        raise ValueError("nothing to train")
+    return n_rows * width * (1 if shared else 2)

@@ -283,6 +283,16 @@ def distilled_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.items.select("item_id", _text("teacher_codes").alias("teacher_codes"), _text("codes").alias("codes"), "sid")
 
 
+def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distillation without compression (as many codes as the teacher has active ones), two refinement rounds a layer.
+
+    Rounds leave clusters empty here, and their repair by farthest points has no plain SQL.
+    """
+    stats = distill(_vectors(spark, sf_dir), _book(spark, sf_dir), [CODES] * LAYERS, refine_iter=2).stats["layer_stats"]
+    rows = [(x["layer"], x["actual_target_size"], x["active_teacher_codes"], round(x["usage_coverage_ratio"], 8), round(x["layer_quantization_mse"], 6), int(x["top_refined_cluster_weights"][0])) for x in stats]
+    return spark.createDataFrame(rows, "layer int, target_size bigint, active_codes bigint, coverage double, mse double, largest bigint")
+
+
 # --- transport -------------------------------------------------------------------------------------------------------
 
 
@@ -408,7 +418,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         distinct_items, item_texts, items_upsert, items_labels_only, missing_meta, item_sid_map, text_embed, l2_normalize, residual_encode, streaming_encode, residual_decode, recon_mse, sampled_loss,
-        reencode, sid_render, sid_parse, codes_parse, sid_collision, code_usage, code_coverage, last_token_pool, kmeans_refine, cluster_relabel, kmeans_pp_seed, train_codebook, distilled_map, transport_map,
+        reencode, sid_render, sid_parse, codes_parse, sid_collision, code_usage, code_coverage, last_token_pool, kmeans_refine, cluster_relabel, kmeans_pp_seed, train_codebook, distilled_map, layer_stats, transport_map,
         layer_sizes_transport, layer_sizes_sid, vocab_resolve, sid_suffix_tokens, trie_children, trie_allowed, recall_ndcg_at_k, mean_metrics, prompt_split, prompt_render, encode_pair, collate,
     )
 } | {f"init_rows_{m}": _init_rows(m) for m in transport.WEIGHT_MODES}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +27,30 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     root = getattr(scratch_root, "_own", None)
     if root is None:
-        root = scratch_root._own = "file://" + tempfile.mkdtemp(prefix="sidforge-")
+        folder = tempfile.mkdtemp(prefix="sidforge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = scratch_root._own = "file://" + folder
     return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, below one folder per application."""
+    folder = f"{scratch_root(spark)}/sidforge-{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_clean, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+_cleaned: set[str] = set()
+
+
+def _clean(spark: SparkSession, folder: str) -> None:
+    """Remove what the application left behind, if its session still runs at exit."""
+    try:
+        remove_path(spark, folder)
+    except Exception:  # noqa: BLE001 - the session is gone, and with it the way to the file system
+        pass
 
 
 def materialize(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFrame:
@@ -57,13 +77,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
-    import os
-    import shutil
-
     context = spark.sparkContext
     if getattr(context, "_sidforge_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="sidforge-"), "sidforge"), "zip", root, "sidforge")
+    folder = tempfile.mkdtemp(prefix="sidforge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "sidforge"), "zip", root, "sidforge")
     context.addPyFile(archive)
     context._sidforge_shipped = True

@@ -150,6 +150,10 @@ def test_vocabulary(spark):
     vocabulary = spark.createDataFrame([("<s_a_0>", 7), ("<s_a_1>", 0)], "token string, token_id bigint")
     tokens = decoding.layer_tokens(sizes)
     assert [r["token_id"] for r in decoding.flat_ids(decoding.resolve_tokens(tokens, vocabulary)).orderBy("nth").collect()] == [7, 0]
+    assert [r[0] for r in decoding.selected_rows(decoding.resolve_tokens(tokens, vocabulary), [0]).orderBy("token_id").collect()] == [0, 7]
+    assert decoding.trainable_elements(2, 8, True) == 16 and decoding.trainable_elements(2, 8, False) == 32
+    with pytest.raises(ValueError):
+        decoding.trainable_elements(0, 8, True)
     for unknown, known in ((0, vocabulary), (None, vocabulary.limit(1))):
         with pytest.raises(PySparkException):
             decoding.resolve_tokens(tokens, known, unknown).collect()
