@@ -15,7 +15,7 @@ from sidforge.llm.tiles import paired_tiles
 from sidforge.session import materialize
 
 #: Pivots a vector is posted under, which is also the length of the permutations that footrule distances compare.
-POSTS = 4
+POSTS = 5
 #: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 8,192 x 64 floats.
 PIVOTS_PER_ROOT = 12
 #: Vectors per pivot at least; fewer would leave inverted lists too short to meet in.
@@ -124,13 +124,21 @@ def rerank_list(x: np.ndarray, perms: np.ndarray, queries: np.ndarray, others: n
     return rows, sims
 
 
+def met_before(perms: np.ndarray, queries: np.ndarray, rows: np.ndarray, pivot: int) -> np.ndarray:
+    """Which found rows share a pivot with their query that the query has before this one; the list of that pivot brings them."""
+    own = perms[queries]
+    earlier = np.where(np.arange(own.shape[1])[None, :] < (own == pivot).argmax(axis=1)[:, None], own, -1)
+    return (perms[np.maximum(rows, 0)][:, :, :, None] == earlier[:, None, None, :]).any(axis=(2, 3))
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int = POSTS, pivots: int | None = None, limit: int = LIST_CANDIDATES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` most similar other vectors of each vector of :func:`usable_vectors`: ``id, rank, neighbour, similarity``.
 
     Equal vectors are one entry of the index with their number; their ids are expanded again at the end: a vector's copies
     come first, in id order, so ties are settled by id, and a third of all rows being copies costs nothing. Each distinct
     vector is described by its ordered ``posts`` nearest pivots and posted in their inverted lists. Within a list,
-    candidates are ranked by footrule distance, and the best are reranked by their cosine. A list of more than ``tile_rows``
+    candidates are ranked by footrule distance, and the best are reranked by their cosine; a pair that shares several lists is
+    handed on by the query's first. A list of more than ``tile_rows``
     is cut into tiles, each pair of tiles being a group of its own, so no task has to hold a long list.
 
     Approximate: neighbours that share none of the ``posts`` pivots are missed; on this project's data at least 0.9 of the
@@ -171,12 +179,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
         perms = np.array(group.column("perm").to_pylist(), np.int16).reshape(len(ids), -1)
         own, tile = group.column("side").to_numpy(), int(group.column("tile")[0].as_py())
         first, second = divmod(tile, 65536)
+        pivot = int(group.column("list")[0].as_py())
         out_q, out_n, out_s = [], [], []
         sides = [(own == first, own == second)] if first == second else [(own == first, own == second), (own == second, own == first)]
         for q, c in sides:
             q, c = np.flatnonzero(q), np.flatnonzero(c)
             if len(q) and len(c):
                 rows, sims = rerank_list(x, perms, q, c, k, limit)
+                rows[met_before(perms, q, rows, pivot)] = -1
                 out_q += [ids[i] for i in q]
                 out_n += [[ids[j] for j in r if j >= 0] for r in rows]
                 out_s += [s[r >= 0].tolist() for s, r in zip(sims, rows)]
