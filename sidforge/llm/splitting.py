@@ -56,29 +56,30 @@ def atoms(ids: list[int], c: Codec) -> tuple[list[int], list[int]]:
 def merge_atoms(cuts: list[int], strengths: list[int], limit: int) -> list[int]:
     """Positions in ``cuts`` that remain after merging neighbours, weakest boundary first, while both together fit ``limit``.
 
-    Equal strengths: the smaller sum first, then the earlier pair. A pair that doesn't fit never will, so it leaves the heap.
+    Among equal strengths the earliest pair goes first, so pieces fill up in order. A pair that doesn't fit never will, so it
+    leaves the heap.
     """
     n = len(cuts) - 1
     start, end, alive = list(range(n)), list(range(1, n + 1)), [True] * n
     previous, following = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(strengths[i], cuts[i + 1] - cuts[i - 1], i - 1, i) for i in range(1, n)]
+    heap = [(strengths[i], i - 1, i, cuts[i + 1] - cuts[i - 1]) for i in range(1, n)]
     heapq.heapify(heap)
     while heap:
-        strength, size, a, b = heapq.heappop(heap)
+        strength, a, b, size = heapq.heappop(heap)
         if not (alive[a] and alive[b]) or following[a] != b or size > limit:
             continue
         now = cuts[end[b]] - cuts[start[a]]
         if now != size:
             if now <= limit:
-                heapq.heappush(heap, (strength, now, a, b))
+                heapq.heappush(heap, (strength, a, b, now))
             continue
         end[a], alive[b], following[a] = end[b], False, following[b]
         if following[b] >= 0:
             previous[following[b]] = a
-            heapq.heappush(heap, (strengths[end[a]], cuts[end[following[a]]] - cuts[start[a]], a, following[a]))
+            heapq.heappush(heap, (strengths[end[a]], a, following[a], cuts[end[following[a]]] - cuts[start[a]]))
         if previous[a] >= 0:
             p = previous[a]
-            heapq.heappush(heap, (strengths[start[a]], cuts[end[a]] - cuts[start[p]], p, a))
+            heapq.heappush(heap, (strengths[start[a]], p, a, cuts[end[a]] - cuts[start[p]]))
     return [start[i] for i in range(n) if alive[i]]
 
 
