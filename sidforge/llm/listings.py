@@ -199,7 +199,7 @@ def describe(title: str | None, store: str | None, description: list[str | None]
     brand = in_title or brand or (shop if shop in words.brands else None)
     rest = [w for w in names if w != brand and w not in words.brands and len(w) > 2]
     if series is None and rest:
-        series = max([w for w in rest if not words.is_slip(w)] or rest, key=len)
+        series = rest[0] if len(rest) == 1 else max([w for w in rest if not words.is_slip(w)] or rest, key=len)
     if series is None and code is None:
         return None
     series = (series or "").replace("-", "").replace("'", "")
@@ -320,39 +320,47 @@ def learn_words(rows: DataFrame) -> Words:
     A maker is a shop name of one word that occurs twice and in one of a million listings. A kind is a last category that occurs at least twice and in one of
     2,000 listings; kinds that listings use side by side in at least a tenth of the rarer one's listings mean the same. A
     word is common when descriptions twice use it in lower case, or when it is in one of 250 titles (in small catalogues: in
-    30, or one of 50) and descriptions don't state it as the name of a line. What comes to the driver is vocabulary, whose size these shares bound, not rows.
+    30, or one of 50), with more than half as many kinds as it could be, and descriptions don't state it as the name of a line. What comes to the driver is vocabulary, whose size these shares bound, not rows.
     """
     n = rows.count()
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts: dict[tuple[str, str], int] = defaultdict(int)
+            counts: dict[tuple[str, str, str], int] = defaultdict(int)
             for title, store, description, leaf in zip(frame["title"], frame["store"], frame["description"], frame["leaf"]):
                 shop = plain(store or "")
                 visit = _VISIT.match(shop)
                 shop = visit[1] if visit else shop.removesuffix(" official")
                 if shop and " " not in shop:
-                    counts["brand", shop] += 1
-                if leaf and plain(leaf):
-                    counts["kind", plain(leaf)] += 1
+                    counts["brand", shop, ""] += 1
+                kind = plain(leaf or "")
+                if kind:
+                    counts["kind", kind, ""] += 1
                 for w in set(_WORD.findall(plain(title or ""))):
-                    counts["title", w] += 1
+                    counts["title", w, kind] += 1
                 said = statements(description)
                 for w in {w for s in said for w in _WORD.findall(s) if w.islower()}:
-                    counts["lower", w] += 1
+                    counts["lower", w, ""] += 1
                 for w in {plain(m[r]).strip(".,") for s in said for pattern, (_, r) in _SAYS_NAME for m in [pattern.search(s)] if m}:
-                    counts["line", w] += 1
-            yield pd.DataFrame([(k, w, c) for (k, w), c in counts.items()], columns=["what", "word", "n"])
+                    counts["line", w, ""] += 1
+            yield pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["what", "word", "kind", "n"])
 
     often = max(2, 0.004 * n, min(30, 0.02 * n))
     least = {"brand": max(2, 0.000001 * n), "kind": max(2, 0.0005 * n), "title": often, "lower": max(2, 0.00001 * n)}
+    counted = rows.mapInPandas(tokens, "what string, word string, kind string, n bigint").groupBy("what", "word", "kind").agg(F.sum("n").alias("n"))
     of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
-    counted = rows.mapInPandas(tokens, "what string, word string, n bigint").groupBy("word").agg(*((of(k) >= v).alias(k) for k, v in least.items() if k != "title"), ((of("title") >= often) & (of("line") * 20 < of("title"))).alias("title"))
+    kinds_of_word = F.count(F.when((F.col("what") == "title") & (F.col("kind") != ""), 1))
+    words = counted.groupBy("word").agg(*(of(k).alias(k) for k in (*least, "line")), kinds_of_word.alias("kinds"))
     by: dict[str, set[str]] = defaultdict(set)
-    for r in counted.where("brand or kind or title or lower").collect():
-        for k in least:
-            if r[k]:
+    often_in_titles = []
+    for r in words.where(" or ".join(f"`{k}` >= {v}" for k, v in least.items())).collect():
+        for k in ("brand", "kind", "lower"):
+            if r[k] >= least[k]:
                 by[k].add(r["word"])
+        if r["title"] >= often and r["line"] * 20 < r["title"]:
+            often_in_titles.append(r)
+    # talk is used with all kinds of things, the name of a line, however often listed, with few
+    by["title"] = {r["word"] for r in often_in_titles if r["kinds"] > 0.5 * min(r["title"], max(1, len(by["kind"])))}
     names = sorted(by["kind"])
     first = Words(by["brand"], {k: i for i, k in enumerate(names)}, set())
 
@@ -378,7 +386,7 @@ def learn_words(rows: DataFrame) -> Words:
     for (a, b), c in sorted(pairs.items()):
         if a != b and c >= 2 and c >= 0.1 * min(pairs[a, a], pairs[b, b]):
             parent[root(a)] = root(b)
-    return Words(by["brand"], {k: root(i) for i, k in enumerate(names)}, (by["title"] - by["brand"]) | by["lower"])
+    return Words(by["brand"], {k: root(i) for i, k in enumerate(names)}, (by["title"] - by["brand"]) | by["lower"] | {w for k in names for w in k.split()})
 
 
 _FIELDS = "brand string, series string, kind int, code string, part boolean, size_kind string, size double, colour string, pack int"

@@ -81,3 +81,9 @@ def test_no_listings(spark):
     assert groups(spark, []) == {} and groups(spark, [(1, "a", None, None, None, None)]) == {}
     one = groups(spark, [(1, "a", "Zorblax Quirv lamp 10 cm red", "Zorblax", None, None)] * 3)
     assert one == {"a": {"a"}}
+
+
+def test_one_product_with_most_listings(spark, catalogue):
+    hot = [(1000 + i, f"H{i:04d}", ["Quorvex Zilpadi lamp 30 cm red", "red Quorvex Zilpadi lamp, 300 mm - best seller"][i % 2], "Quorvex", ["Home", "Light", "Lamp"], None) for i in range(600)]
+    found = groups(spark, catalogue + hot)
+    assert found["H0000"] == {f"H{i:04d}" for i in range(600)} and found["I000"] == {f"I{i:03d}" for i in range(6)}
