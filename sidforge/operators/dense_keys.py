@@ -99,5 +99,5 @@ def dense_key_totals(
 
 def dominant_keys(totals: DataFrame, share: float) -> DataFrame:
     """Of :func:`dense_key_totals`, the non-null keys with at least ``share`` of all rows, null-key rows included."""
-    whole = totals.agg(F.sum("n_rows").alias("all_rows"))
-    return totals.join(F.broadcast(whole)).where((F.col("n_rows") >= F.col("all_rows") * F.lit(share)) & F.col("key").isNotNull())
+    all_rows = totals.agg(F.sum("n_rows").alias("all_rows")).scalar()
+    return totals.where(F.col("key").isNotNull() & (F.col("n_rows") >= all_rows * F.lit(share)))

@@ -357,9 +357,9 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "user_sequences").select("row_id", clean_id("user_id").alias("user_id"), clean_id("parent_asin").alias("item_id")).where("user_id is not null and item_id is not null")
     popular = rows.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(50)
     beams = popular.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "item_id"))), lambda x: x["item_id"]).alias("p"))
-    lists = beams.select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("p", i * 5 + 1, 5)).alias("beams"))
+    lists = beams.select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("p", i * 5 + 1, 5)).alias("beams")).scalar()
     labels = rows.groupBy("user_id").agg(F.max_by("item_id", "row_id").alias("label"))
-    ranked = labels.join(F.broadcast(lists)).withColumn("hit", ranking.first_hit(F.col("beams"), F.col("label")))
+    ranked = labels.withColumn("beams", lists).withColumn("hit", ranking.first_hit(F.col("beams"), F.col("label")))
     return ranking.rank_metrics(ranked, F.col("hit"), (1, 5, 10))
 
 
