@@ -34,11 +34,23 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Cyrillic and Greek letters that look like Latin ones.
+LOOKALIKES = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "һ": "h", "ѕ": "s", "ԁ": "d", "α": "a", "ο": "o", "ι": "i", "ν": "v"})
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,100}>")
+
+
 def normal(text: str) -> str:
-    """Text for comparison: entities and composed characters resolved, invisible characters dropped, lower case."""
-    text = unicodedata.normalize("NFKC", html.unescape(text) if "&" in text else text)
+    """Text for comparison: entities, escapes and tags resolved, marks and invisible characters dropped, look-alikes unified, lower case."""
+    if "&" in text:
+        text = html.unescape(text)
+    if "\\" in text:
+        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text).replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"')
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
+        kept = (ch for ch in unicodedata.normalize("NFKD", text) if unicodedata.category(ch) not in ("Cf", "Mn"))
+        return unicodedata.normalize("NFC", "".join(kept)).casefold().translate(LOOKALIKES)
     return text.casefold()
 
 

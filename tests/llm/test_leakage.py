@@ -65,3 +65,8 @@ def test_candidates_miss_nothing():
         import numpy as np
 
         assert (0, i) in index.candidates(h, np.array([0, len(h)]))
+
+
+def test_normal_text():
+    assert L.normal("Gr\\u00f6\\u00dfe &amp; <p>Us\u0435r\u200b</p>\\n\u00e9e\u0301") == L.normal("Gr\u00f6\u00dfe & User\n\u00e9\u00e9").replace("user", " user").replace("\n", " \n")
+    assert L.words_of(L.normal("\ud55c\uad6d x")) == ["\ud55c", "\uad6d", "x"]
