@@ -29,7 +29,7 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of listings of one product."""
+    """Pairs of listings of one product: all of a group, as its definition asks; ``p2_groups`` has them without pairing."""
     groups = _products(spark, sf_dir)
     return groups.select(F.col("id").alias("item_a"), "product").join(groups.select(F.col("id").alias("item_b"), "product"), "product").where("item_a < item_b").select("item_a", "item_b")
 
