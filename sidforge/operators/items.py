@@ -70,10 +70,14 @@ def missing_items(interactions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def embed_items(items: DataFrame, embedder, text: str = "text") -> DataFrame:  # noqa: ANN001
-    """``pid, embedding``: unit vectors of the item texts by a plug-in column function string -> array<float>."""
+    """``pid, embedding``: unit vectors of the item texts by a plug-in column function string -> array<float>.
+
+    The plug-in may be a Pandas UDF; its result is a column of its own before it is scaled.
+    """
     from sidforge.functions.vectors import unit
 
-    return items.select(F.col("item_id").alias("pid"), unit(embedder(F.col(text)).cast("array<double>")).alias("embedding"))
+    raw = items.select(F.col("item_id").alias("pid"), embedder(F.col(text)).alias("embedding"))
+    return raw.withColumn("embedding", unit(F.col("embedding").cast("array<double>")))
 
 
 def build_sid_map(metadata: DataFrame, codes: DataFrame, layers: int = 3, codes_column: str = "codes") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,9 +135,12 @@ def item_sid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plug-in embedding of item texts; the stand-in embedder counts hashed words in 16 cells."""
 
-    def embedder(text):  # noqa: ANN001, ANN202
-        cells = F.transform(F.split(F.lower(text), r"\W+"), lambda w: F.pmod(F.xxhash64(w), F.lit(16)))
-        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
+    @F.pandas_udf("array<double>")
+    def embedder(texts: pd.Series) -> pd.Series:
+        words = texts.str.lower().str.split(r"\W+", regex=True)
+        cells = pd.util.hash_array(words.explode().to_numpy(object), categorize=True) % 16
+        row = np.repeat(np.arange(len(texts)), words.str.len())
+        return pd.Series(list(np.bincount(row * 16 + cells.astype(np.int64), minlength=16 * len(texts)).reshape(-1, 16).astype(float)))
 
     rows = items.embed_items(_prepared(spark, sf_dir, "all_meta"), embedder)
     return rows.select("pid", F.round(V.total(F.transform("embedding", lambda x: x * x)), 6).alias("squared_length"), F.size("embedding").alias("dim"))
