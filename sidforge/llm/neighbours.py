@@ -16,13 +16,15 @@ from sidforge.session import materialize
 
 #: Pivots a vector is posted under, which is also the length of the permutations that footrule distances compare.
 POSTS = 5
-#: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 8,192 x 64 floats.
+#: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 131,072 x 64 floats (34 MB).
 PIVOTS_PER_ROOT = 12
 #: Vectors per pivot at least; fewer would leave inverted lists too short to meet in.
 ROWS_PER_PIVOT = 32
-MIN_PIVOTS, MAX_PIVOTS = 16, 8_192
-#: Candidates of a query that one inverted list hands to the rerank; longer lists are ranked by footrule distance first.
+MIN_PIVOTS, MAX_PIVOTS = 16, 131_072
+#: Candidates of a query that one inverted list hands to the rerank, at least, and per row of the mean list; longer lists are
+#: ranked by footrule distance first.
 LIST_CANDIDATES = 1_536
+CANDIDATES_PER_MEAN = 8
 #: A longer inverted list is cut into tiles of this many rows that are compared pairwise by different tasks.
 TILE_ROWS = 8_192
 
@@ -124,26 +126,36 @@ def rerank_list(x: np.ndarray, perms: np.ndarray, queries: np.ndarray, others: n
     return rows, sims
 
 
-def met_before(perms: np.ndarray, queries: np.ndarray, rows: np.ndarray, pivot: int) -> np.ndarray:
-    """Which found rows share a pivot with their query that the query has before this one; the list of that pivot brings them."""
+def index_size(n: int) -> tuple[int, int]:
+    """Pivots and candidates of a list for ``n`` vectors; the candidates keep pace with the mean list."""
+    pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, min(PIVOTS_PER_ROOT * np.sqrt(n), n / ROWS_PER_PIVOT))))
+    return pivots, max(LIST_CANDIDATES, int(CANDIDATES_PER_MEAN * POSTS * n / pivots))
+
+
+def met_before(perms: np.ndarray, queries: np.ndarray, rows: np.ndarray, pivot: int, whole: np.ndarray) -> np.ndarray:
+    """Which found rows share a pivot with their query that the query has before this one and whose list is compared ``whole``.
+
+    The list of that pivot brings them. A list of which only the candidates are compared may never have seen the pair.
+    """
     own = perms[queries]
-    earlier = np.where(np.arange(own.shape[1])[None, :] < (own == pivot).argmax(axis=1)[:, None], own, -1)
+    earlier = np.where((np.arange(own.shape[1])[None, :] < (own == pivot).argmax(axis=1)[:, None]) & whole[own], own, -1)
     return (perms[np.maximum(rows, 0)][:, :, :, None] == earlier[:, None, None, :]).any(axis=(2, 3))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int = POSTS, pivots: int | None = None, limit: int = LIST_CANDIDATES, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int = POSTS, pivots: int | None = None, limit: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` most similar other vectors of each vector of :func:`usable_vectors`: ``id, rank, neighbour, similarity``.
 
     Equal vectors are one entry of the index with their number; their ids are expanded again at the end: a vector's copies
     come first, in id order, so ties are settled by id, and a third of all rows being copies costs nothing. Each distinct
     vector is described by its ordered ``posts`` nearest pivots and posted in their inverted lists. Within a list,
     candidates are ranked by footrule distance, and the best are reranked by their cosine; a pair that shares several lists is
-    handed on by the query's first. A list of more than ``tile_rows``
-    is cut into tiles, each pair of tiles being a group of its own, so no task has to hold a long list.
+    handed on by the query's first, unless that list is too long (``limit``) to be compared whole. A list of more than
+    ``tile_rows`` is cut into tiles, each pair of tiles being a group of its own, so no task has to hold a long list.
 
     Approximate: neighbours that share none of the ``posts`` pivots are missed; on this project's data at least 0.9 of the
     true ones are found. Fewer than k other vectors: fewer rows. An empty input gives an empty result. The pivots are a
-    sample, at most 8,192, chosen by hash; every vector is indexed and every vector is a query.
+    sample, at most 131,072, chosen by hash; every vector is indexed and every vector is a query. Pivots and ``limit`` grow
+    with the number of vectors (:func:`index_size`).
     """
     spark = vectors.sparkSession
     base = materialize(vectors.select("id", "vec"), "vectors")
@@ -152,31 +164,39 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
         return spark.createDataFrame([], "id string, rank int, neighbour string, similarity double")
     copies = equal_vectors(base)
     distinct = without_copies(base, copies)
-    m = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, min(PIVOTS_PER_ROOT * np.sqrt(n), n / ROWS_PER_PIVOT))))
-    sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(m).collect()  # at most MAX_PIVOTS rows
+    m, candidates = index_size(n)
+    m, limit = pivots or m, limit or candidates
+    # the least hashes: those below a bound that four times as many stay under, unless copies leave too few
+    bound = int(min(1.0, 4 * m / n) * 2**64) - 2**63
+    sample = distinct.select("vec").where(F.xxhash64("vec") < F.lit(bound)).orderBy(F.xxhash64("vec"), "vec").limit(m).collect() if bound < 2**63 else []  # at most MAX_PIVOTS rows
+    if len(sample) < m:
+        sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(m).collect()
     pivot_rows = spark.sparkContext.broadcast(unpack([r[0] for r in sample], dim))
     posts = min(posts, len(sample))
+    number, kind = (np.int16, "smallint") if len(sample) <= 32_767 else (np.int32, "int")
+    block = max(1, min(2048, (1 << 24) // len(sample)))
 
     def permute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pivot_rows.value.T
         for frame in frames:
-            for at in range(0, len(frame), 2048):
-                part = frame.iloc[at : at + 2048]
+            for at in range(0, len(frame), block):
+                part = frame.iloc[at : at + block]
                 s = unpack(part["vec"], dim) @ p
                 near = np.argpartition(-s, posts - 1, axis=1)[:, :posts]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-                yield part[["id", "vec"]].assign(perm=list(near.astype(np.int16)))
+                yield part[["id", "vec"]].assign(perm=list(near.astype(number)))
 
-    permuted = materialize(distinct.mapInPandas(permute, "id string, vec binary, perm array<smallint>"), "permuted")
+    permuted = materialize(distinct.mapInPandas(permute, f"id string, vec binary, perm array<{kind}>"), "permuted")
     # at most one row per pivot comes to the driver
     lengths = {r[0]: r[1] for r in permuted.select(F.explode("perm").alias("p")).groupBy("p").count().collect()}
+    whole = spark.sparkContext.broadcast(np.array([lengths.get(p, 0) <= limit for p in range(len(sample))]))
     long = {p: -(-c // tile_rows) for p, c in lengths.items() if c > tile_rows}
     posted = paired_tiles(permuted.select("id", "vec", "perm", F.explode("perm").alias("list")), "list", long)
 
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_pylist()
         x = unpack_arrow(group.column("vec"), dim)
-        perms = np.array(group.column("perm").to_pylist(), np.int16).reshape(len(ids), -1)
+        perms = np.array(group.column("perm").to_pylist(), number).reshape(len(ids), -1)
         own, tile = group.column("side").to_numpy(), int(group.column("tile")[0].as_py())
         first, second = divmod(tile, 65536)
         pivot = int(group.column("list")[0].as_py())
@@ -186,17 +206,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
             q, c = np.flatnonzero(q), np.flatnonzero(c)
             if len(q) and len(c):
                 rows, sims = rerank_list(x, perms, q, c, k, limit)
-                rows[met_before(perms, q, rows, pivot)] = -1
+                rows[met_before(perms, q, rows, pivot, whole.value)] = -1
                 out_q += [ids[i] for i in q]
                 out_n += [[ids[j] for j in r if j >= 0] for r in rows]
                 out_s += [s[r >= 0].tolist() for s, r in zip(sims, rows)]
         return pa.table([pa.array(out_q, pa.string()), pa.array(out_n, pa.list_(pa.string())), pa.array(out_s, pa.list_(pa.float32()))], names=["id", "near", "sims"])
 
     found = posted.groupBy("list", "tile").applyInArrow(search, "id string, near array<string>, sims array<float>")
-    # per query: the union of what its lists gave, best first, ties by id
-    entry = lambda i, s: F.struct((-s).alias("minus"), i.alias("near"))
-    merged = found.select("id", F.zip_with("near", "sims", entry).alias("e")).groupBy("id").agg(F.flatten(F.collect_list("e")).alias("e"))
-    merged = merged.select("id", F.slice(F.array_sort(F.array_distinct("e")), 1, k).alias("e"))
+    # per query: the union of what its lists gave, best first, ties by id; cosines of a pair from two lists may differ in the last bit
+    entry = lambda i, s: F.struct(i.alias("near"), (-s).alias("minus"))
+    merged = found.select("id", F.zip_with("near", "sims", entry).alias("e")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    once = F.filter("e", lambda x, i: (i == 0) | (x["near"] != F.get("e", i - 1)["near"]))
+    merged = merged.select("id", F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x["minus"].alias("minus"), x["near"].alias("near")))), 1, k).alias("e"))
     links = merged.select("id", F.explode("e").alias("e")).select("id", F.col("e.near").alias("near"), (-F.col("e.minus")).cast("double").alias("similarity"))
     return _with_copies(base, copies, links, k)
 
