@@ -123,6 +123,30 @@ def test_clusters_equal_brute_force(spark, tile):
         assert r["size"] == len(own) and r["typical"] == [i for _, i in own[:3]]
 
 
+def chains(rng, many, length, dim, degrees):
+    """Unit vectors in chains of small turns: the ends of a chain are far apart, the links between neighbours close."""
+    rows = []
+    for _ in range(many):
+        v = rng.normal(size=dim)
+        for _ in range(length):
+            v /= np.linalg.norm(v)
+            rows.append(v)
+            turn = rng.normal(size=dim)
+            turn -= turn @ v * v
+            v = v * np.cos(np.radians(degrees)) + turn / np.linalg.norm(turn) * np.sin(np.radians(degrees))
+    return np.array(rows)[rng.permutation(many * length)]
+
+
+def test_chained_clusters_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "ROWS_PER_COMPONENT", 100)
+    x = chains(np.random.default_rng(12), 150, 20, 64, 27)
+    label = clusters(x, 0.85)
+    wanted = {(f"p{j:05d}", f"p{i:05d}") for i, j in enumerate(label) if i != j}
+    found = mixture.similarity_clusters(usable(spark, frame(spark, x), 64), 0.85, 64).where("id != cluster").collect()
+    found = {(r["cluster"], r["id"]) for r in found}
+    assert len(found & wanted) >= 0.99 * len(wanted) and len(found & wanted) >= 0.99 * len(found), (len(wanted), len(found), len(found & wanted))
+
+
 def test_cluster_edges(spark):
     none = usable(spark, frame(spark, np.eye(16)[:1])).limit(0)
     assert mixture.similarity_clusters(none, 0.85, 16, 8).collect() == []
