@@ -192,8 +192,11 @@ class Passages:
         return {(d, self.useful[j]) for d, j in out}
 
     def held(self, i: int, words: list[str], h: np.ndarray, sorted_h: np.ndarray, order: np.ndarray) -> tuple[float, int, float]:
-        """Exact check of passage ``i``: share of its words in held sentences, their number, and its shingle containment."""
-        words_held = sentences = shared = shingles = 0
+        """Exact check of passage ``i``: share of its words in held sentences, number of its own among them, and its shingle containment.
+
+        Held sentences that other families share count towards the words where two of its own are held, never to the number.
+        """
+        words_held = standard_held = sentences = shared = shingles = 0
         for sentence, hashes, standard in zip(self.sentences[i], self.hashes[i], self.standard[i]):
             n = len(hashes)
             shingles += n
@@ -203,7 +206,7 @@ class Passages:
             count = hi - lo
             found = int((count > 0).sum())
             shared += found
-            if not found or standard:
+            if not found:
                 continue
             which = np.repeat(np.arange(n), count)
             places = order[np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)] - which
@@ -218,9 +221,13 @@ class Passages:
                 there = words[max(0, at - slack) : at + len(sentence) + 2 * slack]
                 match = sum(b.size for b in difflib.SequenceMatcher(None, sentence, there, autojunk=False).get_matching_blocks())
                 ratio = match / len(sentence)
-            if ratio >= MIN_ALIGNED:
+            if ratio >= MIN_ALIGNED and standard:
+                standard_held += len(sentence)
+            elif ratio >= MIN_ALIGNED:
                 words_held += len(sentence)
                 sentences += 1
+        if sentences >= 2:
+            words_held += standard_held
         return words_held / max(1, self.total[i]), sentences, shared / max(1, shingles)
 
 
@@ -240,11 +247,11 @@ def leaked_passages(
     among the windows of its own size class, where containment and similarity are close, by agreeing MinHash values. Shingles
     that unrelated passages share are left out of the sketches. Each candidate is checked on the whole document with exact
     shingles: a sentence counts as held when shingles point to one place and at least 80 % of its words align there, and the
-    pair is reported when two or more held sentences make up ``min_share`` of the passage's words and the document contains a
+    pair is reported when two or more sentences of its own are held, held ones make up ``min_share`` of the passage's words and the document contains a
     quarter of the passage's shingles.
 
     A passage without two sentences of five words (also null and empty) matches nothing, as does a null or short document.
-    Sentences that unrelated passages share (standard openings) never count as held. Repeated documents each give their rows.
+    Sentences that unrelated passages share (standard openings) count only beside two held ones of the passage's own. Repeated documents each give their rows.
     ``items`` is the stated query set: it is taken to the driver in blocks of ``items_per_pass``, each sent to one pass over
     the corpus. Documents stay where they are; nothing about them is shuffled but the result.
     """

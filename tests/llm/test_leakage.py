@@ -46,6 +46,16 @@ def test_planted_leaks(spark):
     assert leaks(spark, docs, items, items_per_pass=7) == wanted
 
 
+def test_standard_opening_counts_beside_own_sentences(spark):
+    rng = random.Random(7)
+    own = [sentence(rng) for _ in range(5)]
+    # 36 of 101 words in two own sentences, 47 with the opening; the threshold lies between
+    items = [(1, " ".join([OPENING, *own])), (2, " ".join([OPENING, *(sentence(rng) for _ in range(5))]))]
+    filler = " ".join(sentence(rng) for _ in range(4))
+    docs = [(1, " ".join([OPENING, *own[:2], filler])), (2, " ".join([OPENING, filler])), (3, " ".join([OPENING, own[0], filler])), (4, " ".join([*own[:2], filler]))]
+    assert leaks(spark, docs, items, min_share=0.4) == [(1, 1)]
+
+
 def test_odd_items(spark):
     rng = random.Random(5)
     text = " ".join(sentence(rng) for _ in range(5))
