@@ -5,157 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sidforge.llm.cells import cut_cells, hash_sample
+from sidforge.llm.permutations import CANDIDATES, ROWS_PER_PIVOT, cell_neighbours
 from sidforge.llm.tiles import paired_tiles
+from sidforge.llm.vectors16 import DOUBT, equal_vectors, exactly_similar, fingerprint, unpack, unpack_arrow, without_copies
 from sidforge.session import materialize
 
-#: Pivots a vector is posted under, which is also the length of the permutations that footrule distances compare.
-POSTS = 5
-#: Pivots per square root of the number of vectors, and their bounds; a pivot set is broadcast, at most 131,072 x 64 floats (34 MB).
-PIVOTS_PER_ROOT = 12
-#: Vectors per pivot at least; fewer would leave inverted lists too short to meet in.
-ROWS_PER_PIVOT = 32
-MIN_PIVOTS, MAX_PIVOTS = 16, 131_072
-#: Candidates of a query that one inverted list hands to the rerank, at least, and per row of the mean list; longer lists are
-#: ranked by footrule distance first.
-LIST_CANDIDATES = 1_536
-CANDIDATES_PER_MEAN = 8
-#: A longer inverted list is cut into tiles of this many rows that are compared pairwise by different tasks.
-TILE_ROWS = 8_192
+#: Cells of the first level that a vector is posted to, and of the levels below.
+POSTS, POSTS_BELOW = 3, 2
+#: Rows of a cell that the number of first-level pivots aims at, and beyond which a cell is cut again.
+AIM_ROWS, CELL_ROWS = 7_500, 24_576
+#: First-level pivots at most (of 10 million vectors and more); they are broadcast, 1 MB at 64 components. Longer cells are cut again.
+MAX_PIVOTS = 4_096
 
 
-def usable(vector: Column, dim: int) -> Column:
-    """Exactly ``dim`` finite components that are not all zero."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, posts: int) -> np.ndarray:
+    """Numbers of the ``posts`` most similar pivots of each row."""
+    posts = min(posts, len(pivots))
+    if posts == len(pivots):
+        return np.broadcast_to(np.arange(posts, dtype=np.int64), (len(x), posts))
+    return np.concatenate([np.argpartition(-(x[i : i + 1024] @ pivots.T), posts - 1, axis=1)[:, :posts] for i in range(0, len(x), 1024)] or [np.zeros((0, posts), np.int64)])
 
 
-def usable_vectors(df: DataFrame, key: Column, version: Column, vector: Column, dim: int) -> DataFrame:
-    """``id, version, vec`` of the rows with an id and a usable vector; of several rows of an id the highest version.
+def nearest_neighbours(
+    vectors: DataFrame, k: int = 5, dim: int = 64, posts: int = POSTS, aim_rows: int = AIM_ROWS, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS, stride: int = ROWS_PER_PIVOT, candidates: int = CANDIDATES
+) -> DataFrame:
+    """The ``k`` most similar other vectors of each vector of ``usable_vectors``: ``id, rank, neighbour, similarity``.
 
-    ``vec`` is the unit vector as ``dim`` 16-bit floats in a binary (similarities are then right to about 1e-4), because the
-    vectors are what travels. Null, empty, short, long, non-finite and all-zero vectors and null ids give no row.
-    """
-    rows = df.select(key.cast("string").alias("id"), version.cast("bigint").alias("version"), vector.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "version", "vec"])
-
-    packed = rows.mapInArrow(pack, "id string, version bigint, vec binary")
-    return packed.groupBy("id").agg(F.max(F.struct("version", "vec")).alias("m")).select("id", "m.version", "m.vec")
-
-
-def unpack(column: pd.Series | list[bytes], dim: int) -> np.ndarray:
-    """Rows of 16-bit binaries as 32-bit floats."""
-    return np.frombuffer(b"".join(column), np.float16).reshape(-1, dim).astype(np.float32)
-
-
-def unpack_arrow(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """As :func:`unpack`, straight from the buffers of an Arrow column without nulls."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    if not len(column):
-        return np.zeros((0, dim), np.float32)
-    start = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], np.float16, len(column) * dim, int(start)).reshape(-1, dim).astype(np.float32)
-
-
-def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Footrule distances between two sets of truncated permutations (rows of pivot numbers); a missing pivot counts as last."""
-    length = a.shape[1]
-    distance = np.full((len(a), len(b)), length * (length + 1), np.int32)
-    for i in range(length):
-        for j in range(length):
-            distance -= (a[:, i, None] == b[None, :, j]) * np.int32(2 * (length - max(i, j)))
-    return distance
-
-
-def _best(similarity: np.ndarray, k: int) -> np.ndarray:
-    k = min(k, similarity.shape[1])
-    return np.argpartition(-similarity, k - 1, axis=1)[:, :k] if k < similarity.shape[1] else np.broadcast_to(np.arange(k), similarity.shape)
-
-
-def rerank_list(x: np.ndarray, perms: np.ndarray, queries: np.ndarray, others: np.ndarray, k: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query row the ``k`` rows of ``others`` with the highest cosine, -1 where there are fewer; and the cosines.
-
-    When the list is longer than ``limit``, the rows to compare are those of least footrule distance (ties whole), found once
-    for each distinct permutation.
-    """
-    rows, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0, np.float32)
-
-    def fill(q: np.ndarray, c: np.ndarray) -> None:
-        for at in range(0, len(q), 2048):
-            part = q[at : at + 2048]
-            s = x[queries[part]] @ x[c].T
-            s[queries[part][:, None] == c[None, :]] = -2.0
-            b = _best(s, k)
-            value = np.take_along_axis(s, b, 1)
-            sims[part, : b.shape[1]] = value
-            rows[part, : b.shape[1]] = np.where(value > -2.0, c[b], -1)
-
-    if len(others) <= limit:
-        fill(np.arange(len(queries)), others)
-        return rows, sims
-    unique, of_query = np.unique(perms[queries], axis=0, return_inverse=True)
-    there, of_other = np.unique(perms[others], axis=0, return_inverse=True)
-    weight = np.bincount(of_other, minlength=len(there))
-    by_perm = np.argsort(of_other, kind="stable")
-    ends = np.cumsum(weight)
-    by_query = np.argsort(of_query, kind="stable")
-    q_ends = np.cumsum(np.bincount(of_query, minlength=len(unique)))
-    for at in range(0, len(unique), 256):
-        distance = footrule(unique[at : at + 256], there)
-        for u in range(len(distance)):
-            order = np.argsort(distance[u], kind="stable")
-            reached = np.searchsorted(np.cumsum(weight[order]), limit)
-            bound = distance[u][order[min(reached, len(order) - 1)]]
-            near = np.flatnonzero(distance[u] <= bound)
-            c = others[np.concatenate([by_perm[ends[t] - weight[t] : ends[t]] for t in near])]
-            g = at + u
-            fill(by_query[(q_ends[g - 1] if g else 0) : q_ends[g]], c)
-    return rows, sims
-
-
-def index_size(n: int) -> tuple[int, int]:
-    """Pivots and candidates of a list for ``n`` vectors; the candidates keep pace with the mean list."""
-    pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, min(PIVOTS_PER_ROOT * np.sqrt(n), n / ROWS_PER_PIVOT))))
-    return pivots, max(LIST_CANDIDATES, int(CANDIDATES_PER_MEAN * POSTS * n / pivots))
-
-
-def met_before(perms: np.ndarray, queries: np.ndarray, rows: np.ndarray, pivot: int, whole: np.ndarray) -> np.ndarray:
-    """Which found rows share a pivot with their query that the query has before this one and whose list is compared ``whole``.
-
-    The list of that pivot brings them. A list of which only the candidates are compared may never have seen the pair.
-    """
-    own = perms[queries]
-    earlier = np.where((np.arange(own.shape[1])[None, :] < (own == pivot).argmax(axis=1)[:, None]) & whole[own], own, -1)
-    return (perms[np.maximum(rows, 0)][:, :, :, None] == earlier[:, None, None, :]).any(axis=(2, 3))
-
-
-def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int = POSTS, pivots: int | None = None, limit: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The ``k`` most similar other vectors of each vector of :func:`usable_vectors`: ``id, rank, neighbour, similarity``.
+    Pivots on two levels or more. A vector goes to the cells of its ``posts`` nearest first-level pivots; a cell of more than
+    ``cell_rows`` is cut again by pivots of its own, until all are short. Within a cell each row is described by its ordered
+    nearest pivots, every ``stride``-th row of the cell being one, and posted in their inverted files with their places;
+    reading the files of a query's pivots gives the footrule distances to all rows that share one, the ``candidates`` of
+    least distance (ties whole) are reranked by cosine, and the results of a vector's cells are merged.
 
     Equal vectors are one entry of the index with their number; their ids are expanded again at the end: a vector's copies
-    come first, in id order, so ties are settled by id, and a third of all rows being copies costs nothing. Each distinct
-    vector is described by its ordered ``posts`` nearest pivots and posted in their inverted lists. Within a list,
-    candidates are ranked by footrule distance, and the best are reranked by their cosine; a pair that shares several lists is
-    handed on by the query's first, unless that list is too long (``limit``) to be compared whole. A list of more than
-    ``tile_rows`` is cut into tiles, each pair of tiles being a group of its own, so no task has to hold a long list.
+    come first, in id order, and a third of all rows being copies costs nothing.
 
-    Approximate: neighbours that share none of the ``posts`` pivots are missed; on this project's data at least 0.9 of the
-    true ones are found. Fewer than k other vectors: fewer rows. An empty input gives an empty result. The pivots are a
-    sample, at most 131,072, chosen by hash; every vector is indexed and every vector is a query. Pivots and ``limit`` grow
-    with the number of vectors (:func:`index_size`).
+    Approximate: neighbours that share no cell, or are no candidates there, are missed; on this project's data at least 0.9
+    of the true ones are found. Similarities are right to about 1e-5, ties within that are settled by id. Fewer than k other
+    vectors: fewer rows. An empty input gives an empty result. First-level pivots are a sample by hash; every vector is
+    indexed and every vector is a query.
     """
     spark = vectors.sparkSession
     base = materialize(vectors.select("id", "vec"), "vectors")
@@ -164,56 +58,45 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
         return spark.createDataFrame([], "id string, rank int, neighbour string, similarity double")
     copies = equal_vectors(base)
     distinct = without_copies(base, copies)
-    m, candidates = index_size(n)
-    m, limit = pivots or m, limit or candidates
-    # the least hashes: those below a bound that four times as many stay under, unless copies leave too few
-    bound = int(min(1.0, 4 * m / n) * 2**64) - 2**63
-    sample = distinct.select("vec").where(F.xxhash64("vec") < F.lit(bound)).orderBy(F.xxhash64("vec"), "vec").limit(m).collect() if bound < 2**63 else []  # at most MAX_PIVOTS rows
-    if len(sample) < m:
-        sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(m).collect()
-    pivot_rows = spark.sparkContext.broadcast(unpack([r[0] for r in sample], dim))
-    posts = min(posts, len(sample))
-    number, kind = (np.int16, "smallint") if len(sample) <= 32_767 else (np.int32, "int")
-    block = max(1, min(2048, (1 << 24) // len(sample)))
+    m = int(np.clip(np.ceil(n * posts / aim_rows), 1, max_pivots))
+    # about m rows; copies may leave fewer, which makes cells longer
+    sample = sorted(r[0] for r in hash_sample(distinct.select("vec"), n, m).collect()) if m > posts else []
+    pivot_rows = spark.sparkContext.broadcast(unpack(sample, dim) if len(sample) > posts else np.zeros((1, dim), np.float32))
 
-    def permute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pivot_rows.value.T
-        for frame in frames:
-            for at in range(0, len(frame), block):
-                part = frame.iloc[at : at + block]
-                s = unpack(part["vec"], dim) @ p
-                near = np.argpartition(-s, posts - 1, axis=1)[:, :posts]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-                yield part[["id", "vec"]].assign(perm=list(near.astype(number)))
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = nearest_pivots(unpack_arrow(batch.column(1), dim), pivot_rows.value, posts)
+            taken = batch.take(pa.array(np.repeat(np.arange(len(cells)), cells.shape[1])))
+            yield pa.record_batch([pa.array(1 + cells.reshape(-1).astype(np.int64)), taken.column(0), taken.column(1)], names=["cell", "id", "vec"])
 
-    permuted = materialize(distinct.mapInPandas(permute, f"id string, vec binary, perm array<{kind}>"), "permuted")
-    # at most one row per pivot comes to the driver
-    lengths = {r[0]: r[1] for r in permuted.select(F.explode("perm").alias("p")).groupBy("p").count().collect()}
-    whole = spark.sparkContext.broadcast(np.array([lengths.get(p, 0) <= limit for p in range(len(sample))]))
-    long = {p: -(-c // tile_rows) for p, c in lengths.items() if c > tile_rows}
-    posted = paired_tiles(permuted.select("id", "vec", "perm", F.explode("perm").alias("list")), "list", long)
+    def fit(x: np.ndarray, rows: int) -> np.ndarray | None:
+        want = int(np.clip(2 * POSTS_BELOW * rows / cell_rows, 4, 1_024))
+        return np.ascontiguousarray(x[:: max(1, len(x) // want)]) if len(x) >= 4 else None
+
+    def place(pivots: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = nearest_pivots(x, pivots, POSTS_BELOW)
+        return np.repeat(np.arange(len(x)), near.shape[1]), near.reshape(-1)
+
+    posted = distinct.select("id", "vec").mapInArrow(post, "cell bigint, id string, vec binary")
+    posted = cut_cells(posted, fit, place, dim, cell_rows, 4_096)
+    # cells that wouldn't fall apart, if any, are searched in pairs of tiles: at most one row for every cell_rows rows comes here
+    long = {r[0]: -(-2 * r[1] // cell_rows) for r in posted.groupBy("cell").count().where(F.col("count") > cell_rows).collect()} if n * posts > cell_rows else {}
+    posted = paired_tiles(posted, "cell", long)
 
     def search(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_pylist()
+        ids = np.array(group.column("id").to_pylist(), dtype=object)
         x = unpack_arrow(group.column("vec"), dim)
-        perms = np.array(group.column("perm").to_pylist(), number).reshape(len(ids), -1)
-        own, tile = group.column("side").to_numpy(), int(group.column("tile")[0].as_py())
-        first, second = divmod(tile, 65536)
-        pivot = int(group.column("list")[0].as_py())
-        out_q, out_n, out_s = [], [], []
-        sides = [(own == first, own == second)] if first == second else [(own == first, own == second), (own == second, own == first)]
-        for q, c in sides:
-            q, c = np.flatnonzero(q), np.flatnonzero(c)
-            if len(q) and len(c):
-                rows, sims = rerank_list(x, perms, q, c, k, limit)
-                rows[met_before(perms, q, rows, pivot, whole.value)] = -1
-                out_q += [ids[i] for i in q]
-                out_n += [[ids[j] for j in r if j >= 0] for r in rows]
-                out_s += [s[r >= 0].tolist() for s, r in zip(sims, rows)]
-        return pa.table([pa.array(out_q, pa.string()), pa.array(out_n, pa.list_(pa.string())), pa.array(out_s, pa.list_(pa.float32()))], names=["id", "near", "sims"])
-
-    found = posted.groupBy("list", "tile").applyInArrow(search, "id string, near array<string>, sims array<float>")
-    # per query: the union of what its lists gave, best first, ties by id; cosines of a pair from two lists may differ in the last bit
+        # an order that says nothing about the rows, the same in every run
+        order = np.lexsort((ids, (x[:, : min(dim, 8)] * 1e6).astype(np.int64).sum(axis=1) * np.int64(2_654_435_761) % 1_000_003))
+        ids, x = ids[order], np.ascontiguousarray(x[order])
+        rows, sims = cell_neighbours(x, k, stride, candidates)
+        sizes = (rows >= 0).sum(axis=1)
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        near = pa.ListArray.from_arrays(offsets, pa.array(ids[rows[rows >= 0]], pa.string()))
+        return pa.table([pa.array(ids, pa.string()), near, pa.ListArray.from_arrays(offsets, pa.array(sims[rows >= 0], pa.float32()))], names=["id", "near", "sims"])
+
+    found = posted.groupBy("cell", "tile").applyInArrow(search, "id string, near array<string>, sims array<float>")
+    # per query: the union of what its cells gave, best first, ties by id; cosines of a pair from two cells may differ in the last bit
     entry = lambda i, s: F.struct(i.alias("near"), (-s).alias("minus"))
     merged = found.select("id", F.zip_with("near", "sims", entry).alias("e")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     once = F.filter("e", lambda x, i: (i == 0) | (x["near"] != F.get("e", i - 1)["near"]))
@@ -222,23 +105,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, posts: int
     return _with_copies(base, copies, links, k)
 
 
-def fingerprint() -> Column:
-    """96 bits that equal vectors have in common."""
-    return F.struct(F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
-
-
-def equal_vectors(base: DataFrame) -> DataFrame:
-    """``print, representative`` of the vectors that occur more than once; the smallest id stands for all. Only prints are shuffled."""
-    prints = base.select(fingerprint().alias("print"), "id").groupBy("print").agg(F.count("*").alias("n"), F.min("id").alias("representative"))
-    return materialize(prints.where("n > 1").select("print", "representative"), "copies")
-
-
-def without_copies(base: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of ``base`` that stand for themselves or for their copies."""
-    if copies.isEmpty():
-        return base
-    marked = base.withColumn("print", fingerprint()).join(copies, "print", "left")
-    return marked.where("representative is null or representative = id").select("id", "vec")
+def similar_pairs(near: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b): pairs of :func:`nearest_neighbours` of at least ``threshold``; where packing leaves a doubt the vectors of ``full`` decide."""
+    pairs = near.where(F.col("similarity") >= threshold - DOUBT).groupBy(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).agg(F.max("similarity").alias("s"))
+    pairs = materialize(pairs, "pairs")
+    doubtful = pairs.where(F.col("s") < threshold + DOUBT)
+    sure = pairs.where(F.col("s") >= threshold + DOUBT).select("a", "b")
+    return sure if doubtful.isEmpty() else sure.unionByName(exactly_similar(doubtful, full, threshold).select("a", "b"))
 
 
 def _with_copies(base: DataFrame, copies: DataFrame, links: DataFrame, k: int) -> DataFrame:

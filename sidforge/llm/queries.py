@@ -9,10 +9,11 @@ from sidforge.functions.text import WHITESPACE, clean_id
 from sidforge.llm.leakage import leaked_passages
 from sidforge.llm.listings import product_groups
 from sidforge.llm.mixture import cluster_profiles, similarity_clusters
-from sidforge.llm.neighbours import nearest_neighbours, usable_vectors
+from sidforge.llm.neighbours import nearest_neighbours, similar_pairs
 from sidforge.llm.pairs import associations, memberships, update_pairs
 from sidforge.llm.splitting import split_oversized
 from sidforge.llm.tokens import encode_texts
+from sidforge.llm.vectors16 import usable_rows, usable_vectors
 from sidforge.session import table
 
 SAME = 0.85
@@ -54,30 +55,35 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return associations(state).select("item_a", "item_b", "n_together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usable_vectors(table(spark, sf_dir, "item_embeddings"), clean_id("pid"), F.col("row_no"), F.col("embedding"), 64)
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable_rows(table(spark, sf_dir, "item_embeddings"), clean_id("pid"), F.col("row_no"), F.col("embedding"), 64)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar vectors of which one is among the other's five nearest."""
-    near = nearest_neighbours(_vectors(spark, sf_dir), 5).where(F.col("similarity") >= SAME)
-    return near.select(F.least("id", "neighbour").alias("pid_a"), F.greatest("id", "neighbour").alias("pid_b")).distinct()
+    rows = _usable(spark, sf_dir)
+    pairs = similar_pairs(nearest_neighbours(usable_vectors(rows, 64), 5), rows, SAME)
+    return pairs.select(F.col("a").alias("pid_a"), F.col("b").alias("pid_b"))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector, ranked."""
-    return nearest_neighbours(_vectors(spark, sf_dir), 5).withColumn("similarity", F.round("similarity", 4))
+    return nearest_neighbours(usable_vectors(_usable(spark, sf_dir), 64), 5).withColumn("similarity", F.round("similarity", 4))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _usable(spark, sf_dir)
+    return similarity_clusters(usable_vectors(rows, 64), rows, SAME)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest member and each other member of every cluster."""
-    clusters = similarity_clusters(_vectors(spark, sf_dir), SAME)
-    return clusters.where("id != cluster").select(F.col("cluster").alias("pid_a"), F.col("id").alias("pid_b"))
+    return _clusters(spark, sf_dir).where("id != cluster").select(F.col("cluster").alias("pid_a"), F.col("id").alias("pid_b"))
 
 
 def p6_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical members of every cluster, with the codes of the most typical one."""
-    profiles = cluster_profiles(similarity_clusters(_vectors(spark, sf_dir), SAME))
+    profiles = cluster_profiles(_clusters(spark, sf_dir))
     codes = table(spark, sf_dir, "item_codes").select(clean_id("pid").alias("first"), "codes").where("first is not null and codes is not null")
     codes = codes.groupBy("first").agg(F.min("codes").alias("codes"))
     return profiles.withColumn("first", F.get("typical", F.lit(0))).join(codes, "first", "left").select("cluster", "size", "typical", "codes")

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sidforge.llm import graph, mixture
+from sidforge.llm import cells, graph, mixture
 from sidforge.llm import neighbours as N
+from sidforge.llm import permutations as P
+from sidforge.llm import vectors16 as V
 
 SCHEMA = "pid string, row_no bigint, embedding array<float>"
 
@@ -21,20 +23,34 @@ def frame(spark, x, copies=()):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def full(df, dim=16):
+    return V.usable_rows(df, F.col("pid"), F.col("row_no"), F.col("embedding"), dim)
+
+
 def usable(spark, df, dim=16):
-    return N.usable_vectors(df, F.col("pid"), F.col("row_no"), F.col("embedding"), dim)
+    return V.usable_vectors(full(df, dim), dim)
 
 
 def test_usable_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [("a", 1, [3.0, 4.0]), ("a", 0, [1.0, 0.0]), ("a", 2, [0.0, 0.0]), ("b", 1, [1.0, nan]), ("c", 1, [inf, 1.0]), ("d", 1, [1.0]), ("e", 1, []), ("f", 1, None), (None, 1, [1.0, 0.0]), ("g", 1, [1.0, None]), ("h", 1, [1e30, 0.0]), ("i", 1, [0.0, 1e-30])]
-    found = {r["id"]: N.unpack([r["vec"]], 2)[0] for r in usable(spark, spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0)), 2).collect()}
-    assert set(found) == {"a", "h", "i"} and np.allclose(found["a"], [0.6, 0.8], atol=1e-3) and np.allclose(found["i"], [0, 1])
+    found = {r["id"]: V.unpack([r["vec"]], 2)[0] for r in usable(spark, spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0)), 2).collect()}
+    assert set(found) == {"a", "h", "i"} and np.allclose(found["a"], [0.6, 0.8], atol=1e-4) and np.allclose(found["i"], [0, 1])
+
 
+def test_footrule_of_the_inverted_files_equals_the_definition():
+    rng = np.random.default_rng(0)
+    perms = np.stack([rng.permutation(12)[:5] for _ in range(40)]).astype(np.int32)
+    files, q = P.InvertedFiles(perms, 12), np.arange(3, 9)
+    own, other, distance = files.footrule(q, np.zeros((6, 40), np.uint8))
+    place = lambda p, a: list(a).index(p) if p in a else 5
+    wanted = {(i, j): sum(abs(place(p, perms[q[i]]) - place(p, perms[j])) for p in range(12)) for i in range(6) for j in range(40) if j != q[i] and set(perms[j]) & set(perms[q[i]])}
+    assert dict(zip(zip(own.tolist(), other.tolist()), distance.tolist())) == wanted
 
-def test_footrule():
-    a, b = np.array([[1, 2, 3]], np.int16), np.array([[1, 2, 3], [1, 3, 2], [4, 5, 6], [3, 2, 1]], np.int16)
-    assert N.footrule(a, b).tolist() == [[0, 2, 12, 4]]
+
+def test_closest_keeps_ties():
+    own, distance = np.array([0, 0, 0, 0, 1, 1]), np.array([4, 2, 2, 9, 7, 1])
+    assert P.closest(own, distance, 2, 1).tolist() == [1, 2, 5] and P.closest(own, distance, 2, 3).tolist() == [0, 1, 2, 4, 5]
 
 
 def exact(x, k):
@@ -43,38 +59,44 @@ def exact(x, k):
     return np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
-@pytest.mark.parametrize("limit, tile", [(1536, 8192), (60, 8192), (1536, 40)])
-def test_neighbours_recall(spark, limit, tile):
+@pytest.mark.parametrize("options", [{}, {"aim_rows": 300, "candidates": 40}, {"aim_rows": 400, "cell_rows": 120}, {"aim_rows": 10_000, "cell_rows": 60}])
+def test_neighbours_recall(spark, options):
+    """One cell, several, cells that are cut again, and cells cut on more than one level."""
     x = clustered(np.random.default_rng(1), 30, 30)
-    found = N.nearest_neighbours(usable(spark, frame(spark, x)), 5, 16, limit=limit, tile_rows=tile).collect()
+    found = N.nearest_neighbours(usable(spark, frame(spark, x)), 5, 16, **options).collect()
     wanted = {(f"p{i:05d}", f"p{j:05d}") for i, r in enumerate(exact(x, 5)) for j in r}
     assert len({(r["id"], r["neighbour"]) for r in found} & wanted) >= 0.9 * len(wanted)
     assert all(r["id"] != r["neighbour"] and 1 <= r["rank"] <= 5 for r in found) and len({(r["id"], r["rank"]) for r in found}) == len(found)
 
 
-def test_a_list_cut_short_suppresses_nothing(spark):
-    x = np.random.default_rng(11).normal(size=(1500, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = N.nearest_neighbours(usable(spark, frame(spark, x)), 5, 16, pivots=16, limit=60).collect()
-    wanted = {(f"p{i:05d}", f"p{j:05d}") for i, r in enumerate(exact(x, 5)) for j in r}
-    recall = len({(r["id"], r["neighbour"]) for r in found} & wanted) / len(wanted)
-    assert recall >= 0.6, recall  # 0.53 when pairs of a list cut short are left to it
-    assert len({(r["id"], r["neighbour"]) for r in found}) == len(found)
+def test_footrule_ranks_candidates():
+    """With few candidates the rerank sees only those of least footrule distance, and most true neighbours are among them."""
+    x = clustered(np.random.default_rng(11), 20, 100).astype(np.float32)
+    wanted = exact(x, 5)
+    recall = lambda c: np.mean([len(set(a) & set(b)) / 5 for a, b in zip(wanted, P.cell_neighbours(x, 5, 6, c)[0])])
+    assert recall(100) > recall(30) > recall(8) > 0.1 and recall(100) >= 0.95
 
 
-def test_met_before_trusts_whole_lists_only():
-    perms, one = np.array([[3, 7], [7, 3]], np.int16), np.array([0])
-    whole = np.ones(8, bool)
-    assert N.met_before(perms, one, np.array([[1]]), 7, whole).tolist() == [[True]]
-    whole[3] = False
-    assert N.met_before(perms, one, np.array([[1]]), 7, whole).tolist() == [[False]]
+def test_threshold_is_decided_on_the_full_vectors(spark):
+    angle = np.arccos(0.85)
+    at = lambda a: [float(np.float32(np.cos(a))), float(np.float32(np.sin(a)))] + [0.0] * 14
+    rows = [("a", 1, at(0)), ("b", 1, at(angle - 3e-5)), ("m", 1, at(3)), ("n", 1, at(3 + angle + 3e-5))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    near = N.nearest_neighbours(usable(spark, df), 5, 16)
+    assert [tuple(r) for r in N.similar_pairs(near, full(df), 0.85).collect()] == [("a", "b")]
+    groups = mixture.similarity_clusters(usable(spark, df), full(df), 0.85, 16, 8).collect()
+    assert {r["id"]: r["cluster"] for r in groups} == {"a": "a", "b": "a", "m": "m", "n": "n"}
 
 
-def test_index_grows_with_the_vectors():
-    assert N.index_size(160_000) == (4_800, 1_536)
-    sizes = [N.index_size(n) for n in (10**6, 10**7, 10**8, 10**9)]
-    assert [p for p, _ in sizes] == [12_000, 37_947, 120_000, N.MAX_PIVOTS]
-    assert all(limit >= 7.9 * N.POSTS * n / p for n, (p, limit) in zip((10**7, 10**8, 10**9), sizes[1:]))
+def test_cut_cells_keeps_every_row(spark):
+    x = clustered(np.random.default_rng(4), 20, 20)
+    posted = usable(spark, frame(spark, x)).select(F.lit(0).cast("bigint").alias("cell"), "id", "vec")
+    halves = lambda model, v: (np.arange(len(v)), (v[:, 0] > model).astype(np.int64))
+    cut = cells.cut_cells(posted, lambda v, n: float(np.median(v[:, 0])), halves, 16, 60, 4_096, 100)
+    sizes = [r["count"] for r in cut.groupBy("cell").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= 60 and cut.select("id").distinct().count() == len(x)
+    stuck = cells.cut_cells(posted, lambda v, n: None, halves, 16, 60, 4_096, 100)
+    assert [r["count"] for r in stuck.groupBy("cell").count().collect()] == [len(x)]
 
 
 def test_copies_are_each_others_neighbours(spark):
@@ -107,10 +129,10 @@ def clusters(x, threshold):
     return label
 
 
-@pytest.mark.parametrize("tile", [8192, 30])
+@pytest.mark.parametrize("tile", [8192, 60])
 def test_clusters_equal_brute_force(spark, tile):
     x = clustered(np.random.default_rng(3), 40, 12, noise=0.05)
-    found = mixture.similarity_clusters(usable(spark, frame(spark, x, [5, 5, 7])), 0.85, 16, 8, tile).collect()
+    found = mixture.similarity_clusters(usable(spark, frame(spark, x, [5, 5, 7])), None, 0.85, 16, 8, tile).collect()
     label = clusters(x, 0.85)
     wanted = {f"p{i:05d}": f"p{j:05d}" for i, j in enumerate(label)}
     for j, i in enumerate([5, 5, 7]):
@@ -137,34 +159,48 @@ def chains(rng, many, length, dim, degrees):
     return np.array(rows)[rng.permutation(many * length)]
 
 
-def test_chained_clusters_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(mixture, "ROWS_PER_COMPONENT", 100)
+def test_chained_clusters_stay_whole(spark):
     x = chains(np.random.default_rng(12), 150, 20, 64, 27)
     label = clusters(x, 0.85)
     wanted = {(f"p{j:05d}", f"p{i:05d}") for i, j in enumerate(label) if i != j}
-    found = mixture.similarity_clusters(usable(spark, frame(spark, x), 64), 0.85, 64).where("id != cluster").collect()
+    found = mixture.similarity_clusters(usable(spark, frame(spark, x), 64), None, 0.85, 64).where("id != cluster").collect()
     found = {(r["cluster"], r["id"]) for r in found}
     assert len(found & wanted) >= 0.99 * len(wanted) and len(found & wanted) >= 0.99 * len(found), (len(wanted), len(found), len(found & wanted))
 
 
 def test_cluster_edges(spark):
     none = usable(spark, frame(spark, np.eye(16)[:1])).limit(0)
-    assert mixture.similarity_clusters(none, 0.85, 16, 8).collect() == []
-    one = mixture.similarity_clusters(usable(spark, frame(spark, np.eye(16)[:1], [0])), 0.85, 16, 8).collect()
+    assert mixture.similarity_clusters(none, None, 0.85, 16, 8).collect() == []
+    one = mixture.similarity_clusters(usable(spark, frame(spark, np.eye(16)[:1], [0])), None, 0.85, 16, 8).collect()
     assert {(r["id"], r["cluster"]) for r in one} == {("c00000", "c00000"), ("p00000", "c00000")}
 
 
 def test_linked_groups_follow_chains():
     angle = np.radians([0, 25, 50, 75, 180])
     x = np.stack([np.cos(angle), np.sin(angle)], 1)
-    assert mixture.linked_groups(x, 0.85).tolist() == [0, 0, 0, 0, 4]
+    assert mixture.linked_groups(x, 0.85)[0].tolist() == [0, 0, 0, 0, 4]
 
 
-def test_information_criterion_prefers_the_right_number(spark):
+def test_information_criterion_turns_up_and_finds_the_groups():
     rng = np.random.default_rng(8)
-    x = clustered(rng, 4, 200, noise=0.3)
-    _, best, scores = mixture.fit_mixture(usable(spark, frame(spark, x)), 800, 16, 4)
-    assert len(best.means) == min(scores, key=lambda s: s[1])[0] and np.isclose(best.weights.sum(), 1)
+    x = clustered(rng, 60, 40, noise=0.3)
+    z = mixture.Reduction(mixture.moments(x), 16, 8)(x.astype(np.float32))
+    best, scores = mixture.fit_mixture(z)
+    by_criterion = sorted(scores, key=lambda s: s[1])
+    assert len(best.means) == by_criterion[0][0] == 64 and scores[-1][1] > by_criterion[0][1] and np.isclose(best.weights.sum(), 1)
+
+
+def test_mixture_iterations_raise_the_likelihood():
+    z = np.random.default_rng(3).normal(size=(500, 4)).astype(np.float32)
+    mix, seen = mixture.Mixture(np.full(3, 1 / 3), z[:3].astype(float), np.eye(4)), []
+    for _ in range(6):
+        value, mix = mix.step(z, 0.0)
+        seen.append(value)
+    assert all(b >= a - 1e-2 for a, b in zip(seen, seen[1:]))
+    density = np.exp(mix.scores(z) + mix.common(z)[:, None]).sum(axis=1)
+    inverse = np.linalg.inv(mix.covariance)
+    wanted = sum(w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", z - m, inverse, z - m)) for w, m in zip(mix.weights, mix.means)) / np.sqrt(np.linalg.det(mix.covariance) * (2 * np.pi) ** 4)
+    assert np.allclose(density, wanted, rtol=1e-3)
 
 
 def test_components(spark):
