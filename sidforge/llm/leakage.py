@@ -3,204 +3,169 @@
 from __future__ import annotations
 
 import difflib
-import functools
-import html
 import re
-import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-SHINGLE = 5
-HASHES = 64
+from sidforge.llm.graph import connected_components
+from sidforge.llm.words import SHINGLE, normal, shingles, word_hashes
+from sidforge.session import materialize
+
+#: Minima of a sketch: the hashes are dealt out to so many bins by their top bits, and each bin has its least one (one-permutation MinHash).
+BIN_BITS = 7
+BINS = 1 << BIN_BITS
 #: Shingles of a base block; the windows of each size class are unions of neighbouring blocks.
 BLOCK = 16
-#: A window is a candidate for a passage when at least so many of the HASHES minima agree.
+#: A window is a candidate for a passage when at least so many minima agree.
 MIN_AGREEING = 2
-#: Evaluation items handled at a time; more of them take more passes, so what is broadcast has this bound.
-ITEMS_PER_PASS = 4_096
+#: Passages sent to one pass over the corpus, so what is broadcast has this bound; what is known about them comes from all of them.
+ITEMS_PER_PASS = 16_384
 MIN_SHARE = 0.5
 #: A sentence is held when its words align this well with one place of the document.
 MIN_ALIGNED = 0.8
 #: Exact containment of the passage's shingles in the whole document, below which alignments are put down to shared phrasing.
 MIN_CONTAINMENT = 0.25
+#: Characters of documents whose words are hashed together.
+SLICE_CHARS = 1 << 20
 
-_WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-#: Cyrillic and Greek letters that look like Latin ones.
-LOOKALIKES = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "һ": "h", "ѕ": "s", "ԁ": "d", "α": "a", "ο": "o", "ι": "i", "ν": "v"})
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,100}>")
-
-
-def normal(text: str) -> str:
-    """Text for comparison: entities, escapes and tags resolved, marks and invisible characters dropped, look-alikes unified, lower case."""
-    if "&" in text:
-        text = html.unescape(text)
-    if "\\" in text:
-        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text).replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"')
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    if not text.isascii():
-        kept = (ch for ch in unicodedata.normalize("NFKD", text) if unicodedata.category(ch) not in ("Cf", "Mn"))
-        return unicodedata.normalize("NFC", "".join(kept)).casefold().translate(LOOKALIKES)
-    return text.casefold()
-
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SLOT_BITS = 22
 
-def words_of(text: str) -> list[str]:
-    """Words of a normalised text; an East Asian character is a word of its own."""
-    return _WORD.findall(text)
 
-
-@functools.lru_cache(maxsize=1 << 18)
-def _word_hash(word: str) -> int:
+def _digest(words: np.ndarray) -> int:
+    """Signed 64-bit hash of a sequence of words."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word.encode())
-
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64)))
 
-def shingle_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of the word five-grams, in order; none for shorter texts."""
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    n = len(w) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h = (h ^ w[i : i + n]) * _MULTIPLIER
-        h ^= h >> np.uint64(29)
-    return h
 
+def sentence_words(text: str) -> list[np.ndarray]:
+    """Word hashes of each sentence that has words."""
+    parts = [s for s in _SENTENCE.split(normal(text)) if s]
+    words, bounds = word_hashes(parts)
+    return [words[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
 
-def _families() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-    return a, b
 
+def described_passages(items: DataFrame, item_key: str, passage: str) -> DataFrame:
+    """``uid, item, sentences array<struct<nth, words, standard>>, telling``: what the search needs of each passage, by all of them.
 
-def minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MinHash values of consecutive runs of ``h`` that begin at ``starts``: (runs, HASHES) of 32 bits."""
-    a, b = _families()
-    out = np.empty((len(starts), HASHES), np.uint32)
-    for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat(((h * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+    Passages with two successive sentences in common, or equal ones, are one family. ``standard`` are the sentences that
+    passages of several families have (standard openings and the like); ``telling`` the shingles, of other sentences, that
+    one family alone has. Both are counted over all items. Repeated rows count once.
+    """
+    rows = items.select(F.col(item_key).alias("item"), F.col(passage).cast("string").alias("passage")).where("item is not null and passage is not null").distinct()
+    rows = rows.withColumn("uid", F.concat_ws(":", F.col("item").cast("string"), F.hex(F.xxhash64("passage"))))
+    kind = rows.schema["item"].dataType.simpleString()
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for uid, item, text in zip(frame["uid"], frame["item"], frame["passage"]):
+                parts = sentence_words(text)
+                digests = [_digest(p) for p in parts]
+                whole = _digest(np.array(digests, np.int64))
+                for i, p in enumerate(parts):
+                    pair = _digest(np.array(digests[i : i + 2], np.int64)) if i + 1 < len(parts) else whole
+                    out.append((uid, item, i, p.tobytes(), digests[i], pair))
+            yield pd.DataFrame(out, columns=["uid", "item", "nth", "words", "digest", "link"])
+
+    sentences = materialize(rows.mapInPandas(cut, f"uid string, item {kind}, nth int, words binary, digest bigint, link bigint"), "sentences")
+    first = sentences.groupBy("link").agg(F.min("uid").alias("first"))
+    related = connected_components(sentences.join(first, "link").where("uid != first").select(F.col("uid").alias("a"), F.col("first").alias("b")))
+    placed = sentences.join(related.withColumnRenamed("node", "uid"), "uid", "left").withColumn("family", F.coalesce("component", "uid")).drop("component", "link")
+    several = F.min("family") != F.max("family")
+    shared = placed.groupBy("digest").agg(several.alias("standard"))
+    known = materialize(placed.join(shared, "digest").select("uid", "item", "nth", "words", "family", "standard"), "known")
+
+    def cut_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [shingles(np.frombuffer(w, np.uint64)).view(np.int64) for w in frame["words"]]
+            at = np.repeat(np.arange(len(frame)), [len(h) for h in found])
+            yield frame.iloc[at].drop(columns="words").assign(h=np.concatenate([np.zeros(0, np.int64), *found]))
+
+    pieces = known.select("uid", "family", "standard", "words").mapInPandas(cut_shingles, "uid string, family string, standard boolean, h bigint")
+    own = pieces.groupBy("h").agg(several.alias("several")).where("not several").select("h")
+    telling = pieces.where("not standard").select("uid", "h").distinct().join(own, "h").groupBy("uid").agg(F.sort_array(F.collect_list("h")).alias("telling"))
+    whole = known.groupBy("uid").agg(F.first("item").alias("item"), F.array_sort(F.collect_list(F.struct("nth", "words", "standard"))).alias("sentences"))
+    return materialize(whole.join(telling, "uid"), "passages")
 
 
 class Passages:
-    """One pass's worth of evaluation items: sketches by size class and what the exact check needs."""
-
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        self.ids, self.sentences, self.total = list(ids), [], []
-        for text in texts:
-            parts = [words_of(s) for s in _SENTENCE.split(normal(text or "")) if s]
-            parts = [p for p in parts if p]
-            self.sentences.append(parts)
-            self.total.append(sum(map(len, parts)))
-        family = self._related()
-        seen: dict[tuple, set[int]] = defaultdict(set)
-        owners: dict[int, set] = defaultdict(set)
-        for i, parts in enumerate(self.sentences):
-            for p in parts:
-                seen[tuple(p)].add(family[i])
-        #: standard openings and the like: sentences that passages of different families share
-        self.standard = [[len(seen[tuple(p)]) > 1 for p in parts] for parts in self.sentences]
-        hashed = [[shingle_hashes(p) for p in parts] for parts in self.sentences]
-        for i, parts in enumerate(hashed):
-            for h in parts:
-                for x in h.tolist():
-                    owners[x].add(family[i])
-        self.hashes = hashed
-        #: shingles of wording that several families use say nothing about where a text comes from
-        telling = [
-            np.unique(np.concatenate([np.array([x for x in h.tolist() if len(owners[x]) == 1], np.uint64) for h, std in zip(parts, self.standard[i]) if not std] or [np.zeros(0, np.uint64)]))
-            for i, parts in enumerate(hashed)
-        ]
-        self.useful = [i for i, h in enumerate(telling) if len(h)]
-        sizes = [len(telling[i]) for i in self.useful]
-        #: blocks per window of each class: the smallest power of two whose window holds the passage
-        self.classes = [max(1, 1 << max(0, int(np.ceil(np.log2(max(1, s) / BLOCK))))) for s in sizes]
-        starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(int) if sizes else np.zeros(0, int)
-        sketch = minima(np.concatenate([telling[i] for i in self.useful]), starts) if sizes else np.zeros((0, HASHES), np.uint32)
+    """The passages of one pass: sketches by size class and what the exact check needs."""
+
+    def __init__(self, rows: list[Row]):
+        self.ids = [r["item"] for r in rows]
+        self.sentences = [[np.frombuffer(s["words"], np.uint64) for s in r["sentences"]] for r in rows]
+        self.standard = [[s["standard"] for s in r["sentences"]] for r in rows]
+        self.total = [sum(map(len, parts)) for parts in self.sentences]
+        self.hashes = [[shingles(p) for p in parts] for parts in self.sentences]
+        self.need, tables = [], defaultdict(list)
+        for i, r in enumerate(rows):
+            minima = sketch(np.array(r["telling"], np.int64).view(np.uint64))
+            self.need.append(min(MIN_AGREEING, len(minima)))
+            # blocks per window of the class: the smallest power of two whose window holds the passage
+            tables[max(1, 1 << max(0, int(np.ceil(np.log2(max(1, len(r["telling"])) / BLOCK)))))].append((i, minima))
+        self.need = np.array(self.need, np.int64)
         self.tables = {}
-        for c in sorted(set(self.classes)):
-            rows = np.array([j for j, x in enumerate(self.classes) if x == c])
-            order = np.argsort(sketch[rows], axis=0, kind="stable")
-            self.tables[c] = (np.take_along_axis(sketch[rows], order, 0), rows[order])
-        self.telling = np.unique(np.concatenate([telling[i] for i in self.useful])) if sizes else np.zeros(0, np.uint64)
-        self.telling_of = telling
-
-    def _related(self) -> list[int]:
-        """Family of each passage; passages with a sentence pair in common (copies, revisions) are one family."""
-        parent = list(range(len(self.ids)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        first: dict[tuple, int] = {}
-        for i, parts in enumerate(self.sentences):
-            for pair in zip(parts, parts[1:]):
-                key = (tuple(pair[0]), tuple(pair[1]))
-                parent[root(i)] = root(first.setdefault(key, i))
-            key = tuple(map(tuple, parts))
-            parent[root(i)] = root(first.setdefault(key, i))
-        return [root(i) for i in range(len(parent))]
-
-    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(document, passage row) pairs whose sketches agree; document d owns ``h[bounds[d]:bounds[d + 1]]``."""
-        sizes = np.diff(bounds)
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(sizes)), blocks)
-        if not len(owner):
-            return set()
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        signature = minima(h, bounds[owner] + nth * BLOCK)
-        out: set[tuple[int, int]] = set()
-        width, current = 1, signature
-        for c in range(int(np.log2(max(self.tables, default=1))) + 1):
-            if c:  # the window twice as wide: the minimum with the neighbour of the same document
-                ahead = np.arange(len(owner)) + width
-                inside = (ahead < len(owner)) & (owner[np.minimum(ahead, len(owner) - 1)] == owner)
-                current = np.where(inside[:, None], np.minimum(current, current[np.minimum(ahead, len(owner) - 1)]), current)
-                width *= 2
-            if width not in self.tables:
-                continue
-            stride = max(1, width // 2)
-            pick = np.flatnonzero(nth % stride == 0)
-            values, rows = self.tables[width]
-            hits = []
-            for k in range(HASHES):
-                lo = np.searchsorted(values[:, k], current[pick, k], "left")
-                n = np.searchsorted(values[:, k], current[pick, k], "right") - lo
-                w = np.repeat(pick, n)
-                at = np.repeat(lo, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-                hits.append(w.astype(np.int64) * (1 << 20) + rows[at, k])
-            pairs, agreeing = np.unique(np.concatenate(hits), return_counts=True)
-            pairs = pairs[agreeing >= MIN_AGREEING]
-            out.update(zip(owner[pairs >> 20].tolist(), (pairs & ((1 << 20) - 1)).tolist()))
-        return {(d, self.useful[j]) for d, j in out}
-
-    def held(self, i: int, words: list[str], h: np.ndarray, sorted_h: np.ndarray, order: np.ndarray) -> tuple[float, int, float]:
+        for width, members in tables.items():
+            keys, owner = np.concatenate([m for _, m in members]), np.repeat([i for i, _ in members], [len(m) for _, m in members])
+            order = np.argsort(keys, kind="stable")
+            self.tables[width] = keys[order], owner[order].astype(np.int64)
+        self.marks = np.zeros(1 << _SLOT_BITS, bool)
+        for keys, _ in self.tables.values():
+            self.marks[_slots(keys)] = True
+
+    def worth(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Documents with enough shingles that are some passage's minimum; the sketches of others can't agree with any."""
+        hit = np.r_[0, np.cumsum(self.marks[_slots(_keys(h))])]
+        return np.flatnonzero(hit[bounds[1:]] - hit[bounds[:-1]] >= (self.need.min() if len(self.need) else 1))
+
+    def candidates(self, h: np.ndarray) -> list[int]:
+        """Passages whose sketch agrees with that of a window of a document with shingles ``h``."""
+        blocks = -(-len(h) // BLOCK)
+        keys = _keys(h)
+        current = np.full((blocks, BINS), _NONE)
+        np.minimum.at(current.reshape(-1), np.arange(len(h)) // BLOCK * BINS + (keys >> np.uint64(32)).astype(np.int64), keys)
+        out: set[int] = set()
+        width = 1
+        while True:
+            if width in self.tables:
+                out.update(self._agreeing(current[:: max(1, width // 2)], *self.tables[width]))
+            if width >= max(self.tables, default=1):
+                return sorted(out)
+            # the window twice as wide: the minimum with its neighbour
+            current[:-width] = np.minimum(current[:-width], current[width:]) if width < blocks else current[:-width]
+            width *= 2
+
+    def _agreeing(self, windows: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        row, column = np.nonzero(windows != _NONE)
+        key = windows[row, column]
+        marked = self.marks[_slots(key)]
+        row, key = row[marked], key[marked]
+        lo = np.searchsorted(keys, key, "left")
+        n = np.searchsorted(keys, key, "right") - lo
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pairs, agreeing = np.unique(np.repeat(row, n) * np.int64(len(self.ids)) + owner[at], return_counts=True)
+        passages = pairs % max(1, len(self.ids))
+        return np.unique(passages[agreeing >= self.need[passages]])
+
+    def held(self, i: int, words: np.ndarray, sorted_h: np.ndarray, order: np.ndarray) -> tuple[float, int, float]:
         """Exact check of passage ``i``: share of its words in held sentences, number of its own among them, and its shingle containment.
 
         Held sentences that other families share count towards the words where two of its own are held, never to the number.
         """
-        words_held = standard_held = sentences = shared = shingles = 0
+        words_held = standard_held = sentences = shared = total = 0
         for sentence, hashes, standard in zip(self.sentences[i], self.hashes[i], self.standard[i]):
             n = len(hashes)
-            shingles += n
-            if not n or not len(h):
+            total += n
+            if not n or not len(sorted_h):
                 continue
             lo, hi = np.searchsorted(sorted_h, hashes, "left"), np.searchsorted(sorted_h, hashes, "right")
             count = hi - lo
@@ -218,8 +183,8 @@ class Passages:
             if found == n and reach.max() >= n:
                 ratio = 1.0
             else:
-                there = words[max(0, at - slack) : at + len(sentence) + 2 * slack]
-                match = sum(b.size for b in difflib.SequenceMatcher(None, sentence, there, autojunk=False).get_matching_blocks())
+                there = words[max(0, at - slack) : at + len(sentence) + 2 * slack].tolist()
+                match = sum(b.size for b in difflib.SequenceMatcher(None, sentence.tolist(), there, autojunk=False).get_matching_blocks())
                 ratio = match / len(sentence)
             if ratio >= MIN_ALIGNED and standard:
                 standard_held += len(sentence)
@@ -228,7 +193,32 @@ class Passages:
                 sentences += 1
         if sentences >= 2:
             words_held += standard_held
-        return words_held / max(1, self.total[i]), sentences, shared / max(1, shingles)
+        return words_held / max(1, self.total[i]), sentences, shared / max(1, total)
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    """Bin (above) and value (the lower 32 bits) of each shingle."""
+    return h >> np.uint64(64 - BIN_BITS - 32)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The least key of each bin that has one, in order."""
+    keys = np.sort(_keys(h))
+    bins = keys >> np.uint64(32)
+    return keys[np.r_[True, bins[1:] != bins[:-1]]] if len(keys) else keys
+
+
+def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about SLICE_CHARS characters, of one document at least."""
+    at, total = 0, np.cumsum(lengths)
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        yield at, end
+        at = end
 
 
 def leaked_passages(
@@ -251,49 +241,83 @@ def leaked_passages(
     quarter of the passage's shingles.
 
     A passage without two sentences of five words (also null and empty) matches nothing, as does a null or short document.
-    Sentences that unrelated passages share (standard openings) count only beside two held ones of the passage's own. Repeated documents each give their rows.
-    ``items`` is the stated query set: it is taken to the driver in blocks of ``items_per_pass``, each sent to one pass over
-    the corpus. Documents stay where they are; nothing about them is shuffled but the result.
+    Sentences that unrelated passages share (standard openings) count only beside two held ones of the passage's own. Repeated
+    documents each give their rows, repeated passages count once. ``items`` is the stated query set: what is known about its
+    passages is worked out over all of them, so results don't depend on ``items_per_pass``, the number sent to one pass over
+    the corpus. With more than one pass the documents' words are hashed once and written. Documents stay where they are;
+    nothing about them is shuffled but the result.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_key), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * SHINGLE)
     name, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
-    queries = items.select(F.col(item_key), F.col(passage).cast("string").alias("passage")).where(F.col(item_key).isNotNull() & F.col("passage").isNotNull())
-    item_name, item_kind = queries.columns[0], queries.schema[0].dataType.simpleString()
+    item_name, item_kind = items.select(item_key).columns[0], items.select(item_key).schema[0].dataType.simpleString()
     schema = f"`{name}` {kind}, `{item_name}` {item_kind}, share double, n_sentences int, containment double"
+    passages = described_passages(items, item_key, passage)
+    several = passages.count() > items_per_pass
 
-    def one_pass(block: pd.DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Passages(block[item_name].tolist(), block["passage"].tolist()))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in _slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+                yield (batch.column(0).slice(a, b - a), *word_hashes(texts[a:b]))
 
-        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, words, bounds in hashed(batches):
+            yield pa.record_batch([keys, pa.array([words[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=[name, "words"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = [np.frombuffer(w, np.uint64) for w in batch.column(1).slice(at, 256).to_pylist()]
+                yield batch.column(0).slice(at, 256), np.concatenate(part), np.r_[0, np.cumsum([len(w) for w in part])]
+
+    source: Callable = read if several else hashed
+    if several:
+        rows = materialize(rows.mapInArrow(written, f"`{name}` {kind}, words binary"), "words")
+
+    def one_pass(block: list[Row]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(Passages(block))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = sent.value
-            for frame in frames:
-                for at in range(0, len(frame), 256):
-                    part = frame.iloc[at : at + 256]
-                    words = [words_of(normal(t)) for t in part["text"]]
-                    hashes = [shingle_hashes(w) for w in words]
-                    bounds = np.r_[0, np.cumsum([len(h) for h in hashes])]
-                    found = sorted(p.candidates(np.concatenate(hashes), bounds))
-                    out, last = [], -1
-                    for d, i in found:
-                        if d != last:
-                            order, last = np.argsort(hashes[d], kind="stable"), d
-                            ranked = hashes[d][order]
-                        share, n, containment = p.held(i, words[d], hashes[d], ranked, order)
+            for keys, words, bounds in source(batches):
+                h = shingles(words)
+                starts, ends = np.minimum(bounds[:-1], len(h)), np.minimum(np.maximum(bounds[1:] - SHINGLE + 1, bounds[:-1]), len(h))
+                # shingles across two documents are no shingles
+                inside = np.zeros(len(h) + 1, np.int32)
+                np.add.at(inside, starts, 1)
+                np.add.at(inside, ends, -1)
+                kept = h[np.cumsum(inside[:-1]) > 0]
+                edges = np.r_[0, np.cumsum(ends - starts)]
+                out = []
+                for d in p.worth(kept, edges).tolist():
+                    own = kept[edges[d] : edges[d + 1]]
+                    found = p.candidates(own)
+                    if found:
+                        order = np.argsort(own, kind="stable")
+                        ranked = own[order]
+                    for i in found:
+                        share, n, containment = p.held(i, words[bounds[d] : bounds[d + 1]], ranked, order)
                         if n >= 2 and share >= min_share and containment >= MIN_CONTAINMENT:
-                            out.append((part[name].iloc[d], p.ids[i], share, n, containment))
-                    if out:
-                        yield pd.DataFrame(out, columns=[name, item_name, "share", "n_sentences", "containment"])
+                            out.append((d, i, share, n, containment))
+                if out:
+                    d, i, share, n, containment = zip(*out)
+                    yield pa.record_batch(
+                        [keys.take(pa.array(d)), pa.array([p.ids[x] for x in i], item_type), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(containment, pa.float64())], names=[name, item_name, "share", "n_sentences", "containment"]
+                    )
+
+        return rows.mapInArrow(search, schema)
 
-        return rows.mapInPandas(search, schema)
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    item_type = to_arrow_type(items.select(item_key).schema[0].dataType)
     result, block = None, []
-    for row in queries.toLocalIterator():
+    for row in passages.orderBy("uid").toLocalIterator() if several else passages.collect():  # at most items_per_pass rows at a time
         block.append(row)
         if len(block) == items_per_pass:
-            part, block = one_pass(pd.DataFrame(block, columns=[item_name, "passage"])), []
+            part, block = one_pass(block), []
             result = part if result is None else result.unionByName(part)
     if block:
-        part = one_pass(pd.DataFrame(block, columns=[item_name, "passage"]))
+        part = one_pass(block)
         result = part if result is None else result.unionByName(part)
     return spark.createDataFrame([], schema) if result is None else result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidforge.llm.tokens import VOCABULARY, Codec, codec, first_char, kind, last_char
+from sidforge.llm.tokens import VOCABULARY, Codec, codec, kind
 
 MAX_TOKENS = 1_024
 OVERLAP_TOKENS = 64
@@ -21,40 +22,79 @@ RUN_TOKENS = 16
 FORCED, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _SENTENCE_ENDS = set(".!?…。！？")
 _CLAUSE_ENDS = set(",;:、，；：)]}»”")
+_EAST_ASIAN_ENDS = set("。！？、，；：")
 
 
-def atoms(ids: list[int], c: Codec) -> tuple[list[int], list[int]]:
-    """Token positions where a text may be cut (first 0, last ``len(ids)``) and the strength of each."""
-    cuts, strengths, last = [0], [PARAGRAPH], 0
-    for i in range(1, len(ids)):
-        after = first_char(c.pieces[ids[i]]) or first_char(c.decode_bytes(ids[i : i + 4]))
-        if not after:
-            continue
-        before = last_char(c.pieces[ids[i - 1]]) or last_char(c.decode_bytes(ids[max(0, i - 4) : i]))
-        if not before:
-            continue
-        strength = None
-        if kind(before) != " " and after in " \n\t\r":
-            strength = SENTENCE if before in _SENTENCE_ENDS else CLAUSE if before in _CLAUSE_ENDS else SPACE
-            if after in "\n\r":
-                strength = LINE
-                if c.decode_bytes(ids[i : i + 4]).lstrip(b" \t\r").startswith((b"\n\n", b"\n\r\n")):
-                    strength = PARAGRAPH
-        elif before in "。！？、，；：" and kind(after) == "L":
-            strength = SENTENCE if before in _SENTENCE_ENDS else CLAUSE
-        elif i - last >= RUN_TOKENS:
-            strength = FORCED
-        if strength is not None:
-            cuts.append(i)
-            strengths.append(strength)
-            last = i
-    cuts.append(len(ids))
-    strengths.append(PARAGRAPH)
-    return cuts, strengths
-
-
-def merge_atoms(cuts: list[int], strengths: list[int], limit: int) -> list[int]:
-    """Positions in ``cuts`` that remain after merging neighbours, weakest boundary first, while both together fit ``limit``.
+@functools.cache
+def _character(code: int) -> tuple[bool, bool, bool, bool, int, bool]:
+    """Of a character: plain white, line break, letter, white, strength of a boundary after it, East Asian punctuation."""
+    x = chr(code)
+    return x in " \n\t\r", x in "\n\r", kind(x) == "L", kind(x) == " ", SENTENCE if x in _SENTENCE_ENDS else CLAUSE if x in _CLAUSE_ENDS else SPACE, x in _EAST_ASIAN_ENDS
+
+
+def natural_boundaries(data: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Strength of the natural boundary before each token but the first: FORCED where there is none, -1 within a character.
+
+    ``offsets`` are the positions in the UTF-8 ``data`` at which tokens begin.
+    """
+    codes, starts = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32), (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    at = offsets[1:-1]
+    out = np.full(len(at), -1, np.int64)
+    whole = np.flatnonzero(starts[at])
+    nth = np.cumsum(starts)[at[whole]] - 1
+    unique, inverse = np.unique(codes, return_inverse=True)
+    white, newline, letter, blank, strength, east_asian = (np.array(column) for column in zip(*map(_character, unique.tolist())))
+    before, after = inverse[nth - 1], inverse[nth]
+    spaced = ~blank[before] & white[after]
+    out[whole] = np.where(spaced & newline[after], LINE, np.where(spaced | (east_asian[before] & letter[after]), strength[before], FORCED))
+    for i in np.flatnonzero(out == LINE).tolist():
+        if data[offsets[i + 1] : offsets[min(i + 5, len(offsets) - 1)]].lstrip(b" \t\r").startswith((b"\n\n", b"\n\r\n")):
+            out[i] = PARAGRAPH
+    return out
+
+
+def atoms(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token positions where a text may be cut (first 0, last the number of tokens) and the strength of each."""
+    n = len(offsets) - 1
+    strength = natural_boundaries(data, offsets)
+    cuts = np.flatnonzero(strength > FORCED) + 1
+    bounds, possible = np.r_[0, cuts, n], np.flatnonzero(strength >= FORCED) + 1
+    long, forced = np.diff(bounds) > RUN_TOKENS, []
+    for start, end in zip(bounds[:-1][long].tolist(), bounds[1:][long].tolist()):
+        while True:
+            at = int(np.searchsorted(possible, start + RUN_TOKENS))
+            if at == len(possible) or possible[at] >= end:
+                break
+            start = int(possible[at])
+            forced.append(start)
+    cuts = np.sort(np.r_[cuts, np.array(forced, np.int64)])
+    return np.r_[0, cuts, n], np.r_[PARAGRAPH, strength[cuts - 1], PARAGRAPH]
+
+
+def settled_runs(cuts: np.ndarray, strengths: np.ndarray, limit: int) -> np.ndarray:
+    """Cuts that the heap has to decide about: those within a run that fits ``limit`` as a whole, between stronger boundaries, go first anyway.
+
+    All boundaries of a run that are weaker than those around it are merged before any stronger one, and if the run fits,
+    every merge within it does, so the run is one segment whatever the order.
+    """
+    kept = np.arange(len(cuts))
+    for level in range(LINE, FORCED - 1, -1):
+        walls = np.flatnonzero(np.r_[True, strengths[kept[1:-1]] > level, True]) if len(kept) > 2 else np.arange(len(kept))
+        fits = np.diff(cuts[kept[walls]]) <= limit
+        inside = np.repeat(fits, np.diff(walls))
+        inside[walls[:-1]] = False
+        kept = kept[np.r_[~inside, True]]
+    return kept
+
+
+def merge_atoms(cuts: np.ndarray, strengths: np.ndarray, limit: int) -> list[int]:
+    """Positions in ``cuts`` that remain after merging neighbours, weakest boundary first, while both together fit ``limit``."""
+    kept = settled_runs(cuts, strengths, limit)
+    return kept[merge_pairs(cuts[kept].tolist(), strengths[kept].tolist(), limit)].tolist()
+
+
+def merge_pairs(cuts: list[int], strengths: list[int], limit: int) -> list[int]:
+    """As :func:`merge_atoms`, by a heap of all neighbouring pairs.
 
     Among equal strengths the earliest pair goes first, so pieces fill up in order. A pair that doesn't fit never will, so it
     leaves the heap.
@@ -90,21 +130,20 @@ def split_text(text: str, c: Codec, max_tokens: int = MAX_TOKENS, overlap: int =
         return [(0, len(text), len(ids), 0, PARAGRAPH)] if ids else []
     data = text.encode()
     offsets = np.r_[0, np.cumsum(c.lengths[ids])]
-    cuts, strengths = atoms(ids, c)
+    cuts, strengths = atoms(data, offsets)
     firsts = merge_atoms(cuts, strengths, max_tokens - overlap)
-    positions = np.asarray(cuts)
     out = []
     chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
     char_at = lambda token: int(chars[offsets[token] - 1]) if token else 0
     for k, f in enumerate(firsts):
-        core, end = cuts[f], cuts[firsts[k + 1]] if k + 1 < len(firsts) else len(ids)
-        begin = core if not k else int(positions[np.searchsorted(positions, max(0, core - overlap))])
+        core, end = int(cuts[f]), int(cuts[firsts[k + 1]]) if k + 1 < len(firsts) else len(ids)
+        begin = core if not k else int(cuts[np.searchsorted(cuts, max(0, core - overlap))])
         while True:  # a cut within a run may, rarely, cost a token; then the overlap gives way
             size = len(c.encode(data[offsets[begin] : offsets[end]].decode()))
             if size <= max_tokens or begin >= core:
                 break
-            begin = int(positions[np.searchsorted(positions, begin, side="right")])
-        out.append((char_at(begin), char_at(end), size, core - begin, strengths[f]))
+            begin = int(cuts[np.searchsorted(cuts, begin, side="right")])
+        out.append((char_at(begin), char_at(end), size, core - begin, int(strengths[f])))
     return out
 
 
