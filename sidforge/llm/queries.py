@@ -19,11 +19,6 @@ from sidforge.session import table
 SAME = 0.85
 
 
-def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "user_sequences")
-    return memberships(rows, clean_id("user_id"), clean_id("parent_asin"))
-
-
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "item_meta").withColumn("pid", clean_id("parent_asin"))
     return product_groups(rows, "pid", "row_no", "title", "store", "description", "categories")
@@ -40,19 +35,26 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _products(spark, sf_dir)
 
 
+def _kept_up(spark: SparkSession, sf_dir: str, *shares: float) -> DataFrame:
+    """The pair table over all rows, built from those that arrived first and updated with each later part; shares of the rows part them by arrival."""
+    rows = table(spark, sf_dir, "user_sequences")
+    visits = lambda part: memberships(part, clean_id("user_id"), clean_id("parent_asin"))
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("arrived_at"), [F.lit(s) for s in shares])).first()[0] or []
+    part = F.coalesce(sum((F.unix_micros("arrived_at") > c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(0))
+    state = None
+    for i in range(len(cuts) + 1):
+        state = update_pairs(spark, state, visits(rows.where(part == i)))
+    return associations(state)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items that users touch together much more often than by chance."""
-    return associations(update_pairs(spark, None, _visits(spark, sf_dir))).select("item_a", "item_b")
+    """Pairs of items that users touch together much more often than by chance; the last hundredth of the rows comes as an update."""
+    return _kept_up(spark, sf_dir, 0.99).select("item_a", "item_b")
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and scores of the found pairs, kept up in two steps: four fifths of the rows first, then the rest."""
-    rows = table(spark, sf_dir, "user_sequences")
-    early = F.pmod(F.xxhash64("row_id"), F.lit(5)) > 0
-    visits = lambda part: memberships(part, clean_id("user_id"), clean_id("parent_asin"))
-    state = update_pairs(spark, None, visits(rows.where(early)))
-    state = update_pairs(spark, state, visits(rows.where(~early)))
-    return associations(state).select("item_a", "item_b", "n_together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    """Counts and scores of the found pairs, kept up over two updates: four fifths of the rows first, then most of the rest, then the last."""
+    return _kept_up(spark, sf_dir, 0.8, 0.98).select("item_a", "item_b", "n_together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
