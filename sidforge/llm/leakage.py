@@ -106,6 +106,7 @@ class Passages:
         self.standard = [[s["standard"] for s in r["sentences"]] for r in rows]
         self.total = [sum(map(len, parts)) for parts in self.sentences]
         self.hashes = [[shingles(p) for p in parts] for parts in self.sentences]
+        self.flat = [np.concatenate([np.zeros(0, np.uint64), *parts]) for parts in self.hashes]
         self.need, tables = [], defaultdict(list)
         for i, r in enumerate(rows):
             minima = sketch(np.array(r["telling"], np.int64).view(np.uint64))
@@ -127,50 +128,59 @@ class Passages:
         hit = np.r_[0, np.cumsum(self.marks[_slots(_keys(h))])]
         return np.flatnonzero(hit[bounds[1:]] - hit[bounds[:-1]] >= (self.need.min() if len(self.need) else 1))
 
-    def candidates(self, h: np.ndarray) -> list[int]:
-        """Passages whose sketch agrees with that of a window of a document with shingles ``h``."""
-        blocks = -(-len(h) // BLOCK)
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """Document and passage whose sketches agree in some window, in order; document d has the shingles ``h[bounds[d]:bounds[d + 1]]``."""
+        sizes = np.diff(bounds)
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        block = np.repeat(np.cumsum(blocks) - blocks, sizes) + (np.arange(len(h)) - np.repeat(bounds[:-1], sizes)) // BLOCK
         keys = _keys(h)
-        current = np.full((blocks, BINS), _NONE)
-        np.minimum.at(current.reshape(-1), np.arange(len(h)) // BLOCK * BINS + (keys >> np.uint64(32)).astype(np.int64), keys)
-        out: set[int] = set()
-        width = 1
+        current = np.full((len(owner), BINS), _NONE)
+        np.minimum.at(current.reshape(-1), block * BINS + (keys >> np.uint64(32)).astype(np.int64), keys)
+        out, width = [np.zeros(0, np.int64)], 1
         while True:
             if width in self.tables:
-                out.update(self._agreeing(current[:: max(1, width // 2)], *self.tables[width]))
+                pick = np.flatnonzero(nth % max(1, width // 2) == 0)
+                windows, passages = self._agreeing(current[pick], *self.tables[width])
+                out.append(owner[pick[windows]] * np.int64(len(self.ids)) + passages)
             if width >= max(self.tables, default=1):
-                return sorted(out)
-            # the window twice as wide: the minimum with its neighbour
-            current[:-width] = np.minimum(current[:-width], current[width:]) if width < blocks else current[:-width]
+                return [divmod(x, len(self.ids)) for x in np.unique(np.concatenate(out)).tolist()]
+            # the window twice as wide: the minimum with its neighbour in the same document
+            joined = np.flatnonzero(owner[width:] == owner[:-width]) if width < len(owner) else np.zeros(0, np.int64)
+            current[joined] = np.minimum(current[joined], current[joined + width])
             width *= 2
 
-    def _agreeing(self, windows: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        row, column = np.nonzero(windows != _NONE)
-        key = windows[row, column]
-        marked = self.marks[_slots(key)]
-        row, key = row[marked], key[marked]
+    def _agreeing(self, windows: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and the passages that agree with them in enough minima."""
+        flat = windows.reshape(-1)
+        at = np.flatnonzero(self.marks[_slots(flat)] & (flat != _NONE))
+        key = flat[at]
         lo = np.searchsorted(keys, key, "left")
         n = np.searchsorted(keys, key, "right") - lo
-        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        pairs, agreeing = np.unique(np.repeat(row, n) * np.int64(len(self.ids)) + owner[at], return_counts=True)
-        passages = pairs % max(1, len(self.ids))
-        return np.unique(passages[agreeing >= self.need[passages]])
+        entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pairs, agreeing = np.unique(np.repeat(at // BINS, n) * np.int64(len(self.ids)) + owner[entry], return_counts=True)
+        window, passage = np.divmod(pairs, max(1, len(self.ids)))
+        enough = agreeing >= self.need[passage]
+        return window[enough], passage[enough]
 
     def held(self, i: int, words: np.ndarray, sorted_h: np.ndarray, order: np.ndarray) -> tuple[float, int, float]:
         """Exact check of passage ``i``: share of its words in held sentences, number of its own among them, and its shingle containment.
 
         Held sentences that other families share count towards the words where two of its own are held, never to the number.
         """
-        words_held = standard_held = sentences = shared = total = 0
+        words_held = standard_held = sentences = 0
+        every = self.flat[i]
+        first = np.searchsorted(sorted_h, every, "left")
+        containment = float((sorted_h[np.minimum(first, len(sorted_h) - 1)] == every).mean()) if len(every) and len(sorted_h) else 0.0
+        if containment < MIN_CONTAINMENT:  # whatever aligns, this is no case
+            return 0.0, 0, containment
+        counts, at_shingle = np.searchsorted(sorted_h, every, "right") - first, 0
         for sentence, hashes, standard in zip(self.sentences[i], self.hashes[i], self.standard[i]):
             n = len(hashes)
-            total += n
-            if not n or not len(sorted_h):
-                continue
-            lo, hi = np.searchsorted(sorted_h, hashes, "left"), np.searchsorted(sorted_h, hashes, "right")
-            count = hi - lo
+            lo, count = first[at_shingle : at_shingle + n], counts[at_shingle : at_shingle + n]
+            at_shingle += n
             found = int((count > 0).sum())
-            shared += found
             if not found:
                 continue
             which = np.repeat(np.arange(n), count)
@@ -193,7 +203,7 @@ class Passages:
                 sentences += 1
         if sentences >= 2:
             words_held += standard_held
-        return words_held / max(1, self.total[i]), sentences, shared / max(1, total)
+        return words_held / max(1, self.total[i]), sentences, containment
 
 
 def _keys(h: np.ndarray) -> np.ndarray:
@@ -289,17 +299,17 @@ def leaked_passages(
                 np.add.at(inside, ends, -1)
                 kept = h[np.cumsum(inside[:-1]) > 0]
                 edges = np.r_[0, np.cumsum(ends - starts)]
-                out = []
-                for d in p.worth(kept, edges).tolist():
-                    own = kept[edges[d] : edges[d + 1]]
-                    found = p.candidates(own)
-                    if found:
-                        order = np.argsort(own, kind="stable")
-                        ranked = own[order]
-                    for i in found:
-                        share, n, containment = p.held(i, words[bounds[d] : bounds[d + 1]], ranked, order)
-                        if n >= 2 and share >= min_share and containment >= MIN_CONTAINMENT:
-                            out.append((d, i, share, n, containment))
+                out, worth = [], p.worth(kept, edges)
+                parts = [kept[edges[d] : edges[d + 1]] for d in worth.tolist()]
+                last = -1
+                for nth, i in p.candidates(np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]) if parts else []:
+                    d = int(worth[nth])
+                    if nth != last:
+                        order, last = np.argsort(parts[nth], kind="stable"), nth
+                        ranked = parts[nth][order]
+                    share, n, containment = p.held(i, words[bounds[d] : bounds[d + 1]], ranked, order)
+                    if n >= 2 and share >= min_share and containment >= MIN_CONTAINMENT:
+                        out.append((d, i, share, n, containment))
                 if out:
                     d, i, share, n, containment = zip(*out)
                     yield pa.record_batch(

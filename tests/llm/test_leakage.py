@@ -91,7 +91,7 @@ def test_candidates_miss_nothing(spark):
     for i, x in enumerate(p):
         words, _ = W.word_hashes([changed(" ".join(sentence(rng) for _ in range(200)) + " ".join(x[-3:]), rng, 0.02)])
         h = W.shingles(words)
-        assert i in index.candidates(h) and index.worth(h, np.array([0, len(h)])).tolist() == [0]
+        assert (0, i) in index.candidates(h, np.array([0, len(h)])) and index.worth(h, np.array([0, len(h)])).tolist() == [0]
 
 
 def test_sketch_is_the_least_of_each_bin():
