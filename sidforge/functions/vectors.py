@@ -16,14 +16,6 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance."""
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))

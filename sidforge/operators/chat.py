@@ -20,8 +20,12 @@ def content_text(content: Column) -> Column:
     whole = F.try_variant_get(content, "$", "string")
 
     def part(x: Column) -> Column:
-        inner = F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$.text", "string")).otherwise(F.try_variant_get(x, "$", "string"))
-        return pytrim(F.coalesce(inner, F.lit("")))
+        value = F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$.text", "variant")).otherwise(x)
+        text, truth = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value) == "BOOLEAN"
+        number = F.when(F.schema_of_variant(value) != "STRING", F.try_variant_get(value, "$", "double"))
+        # zero and false say nothing, as an empty text does
+        said = F.when(truth, F.when(text == "true", F.lit("True"))).when(number == 0, F.lit(None)).otherwise(text)
+        return pytrim(F.coalesce(said, F.lit("")))
 
     joined = F.array_join(F.filter(F.transform(content.try_cast("array<variant>"), part), lambda t: t != ""), "\n")
     return F.when(kind.startswith("ARRAY"), joined).otherwise(F.coalesce(whole, F.lit("")))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A split hands on its arrays when its dictionary has this many keys, so its memory does not follow the input.
 FLUSH_KEYS = 200_000
-BLOCKS = 64
-FAN = 16
+#: Keys of a block that the number of blocks aims at, so the arrays of one merging task stay small whatever the input.
+BLOCK_KEYS = 50_000
 
 _SCHEMA = "block int, lane int, keys array<string>, counts array<bigint>, sums array<double>"
 
@@ -75,20 +75,31 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lane": [0], "keys": [uniques], "counts": [counts], "sums": [sums]})
 
 
+def _shape(rows: DataFrame) -> tuple[int, int]:
+    """Blocks and lanes: blocks by the approximate number of keys, lanes the square root of the number of splits, so both merging steps take about as many arrays."""
+    keys, splits = rows.select("key", F.spark_partition_id().alias("split")).agg(F.approx_count_distinct("key"), F.approx_count_distinct("split")).first()
+    return max(8, -(-keys // BLOCK_KEYS)), max(1, int(np.ceil(np.sqrt(splits))))
+
+
 def dense_key_totals(
-    df: DataFrame, key: Column, value: Column | None = None, blocks: int = BLOCKS, fan: int = FAN, flush_keys: int = FLUSH_KEYS
+    df: DataFrame, key: Column, value: Column | None = None, blocks: int | None = None, fan: int | None = None, flush_keys: int = FLUSH_KEYS
 ) -> DataFrame:
     """Rows and value sum per key: ``key, n_rows, value_sum``.
 
     Each input split dictionary-encodes its keys and counts them with ``bincount`` into dense arrays, whose slots are the
     split's dictionary; the arrays are cut into ``blocks`` by key hash and summed in two steps, first in ``fan`` lanes per
     block, then per block. A key that holds most rows costs each split one array slot, so no task has more than its share,
-    and at most ``splits * distinct keys`` slots are shuffled, never rows.
+    and at most ``splits * distinct keys`` slots are shuffled, never rows. Blocks and lanes follow the number of keys and of
+    splits (one pass over the key column) unless they are given, so a merging task has some BLOCK_KEYS keys of about
+    sqrt(splits) arrays at any size.
 
     Null is a key of its own (key null). A null value counts as 0 in the sum but its row is counted. An empty input gives an
     empty result. Extra columns are ignored.
     """
     rows = df.select(key.cast("string").alias("key"), (F.lit(0.0) if value is None else value.cast("double")).alias("value"))
+    if blocks is None or fan is None:
+        found = _shape(rows)
+        blocks, fan = blocks or found[0], fan or found[1]
     arrays = rows.mapInArrow(_accumulate(blocks, fan, flush_keys), _SCHEMA)
     lanes = arrays.groupBy("block", "lane").applyInPandas(_merge, _SCHEMA)
     merged = lanes.groupBy("block").applyInPandas(_merge, _SCHEMA)
@@ -97,7 +108,10 @@ def dense_key_totals(
     )
 
 
-def dominant_keys(totals: DataFrame, share: float) -> DataFrame:
-    """Of :func:`dense_key_totals`, the non-null keys with at least ``share`` of all rows, null-key rows included."""
-    all_rows = totals.agg(F.sum("n_rows").alias("all_rows")).scalar()
-    return totals.where(F.col("key").isNotNull() & (F.col("n_rows") >= all_rows * F.lit(share)))
+def dominant_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
+    """``key, n_rows`` of the non-null keys of ``df`` that hold at least ``share`` of all its rows, null-key rows included.
+
+    The keys are accumulated once; the number of all rows is a count of its own, which reads no column.
+    """
+    totals = dense_key_totals(df, key)
+    return totals.where(F.col("key").isNotNull() & (F.col("n_rows") >= df.count() * F.lit(share))).select("key", "n_rows")

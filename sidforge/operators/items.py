@@ -99,12 +99,6 @@ def build_sid_map(metadata: DataFrame, codes: DataFrame, layers: int = 3, codes_
     return joined.withColumn("codes", normalize_codes("codes", layers)).withColumn("sid", sid_from_codes("codes"))
 
 
-def latest_by(df: DataFrame, key: Column, order: str, out: str = "item_id") -> DataFrame:
-    """Of several rows with one key the one of highest ``order``; null keys dropped."""
-    window = W.partitionBy(out).orderBy(F.desc(order))
-    return df.withColumn(out, key).where(F.col(out).isNotNull()).withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
-
-
 def usable_rows(df: DataFrame, key: str, order: str, vector: str, dim: int) -> DataFrame:
     """``id, ord, v``: of each id the last row with a usable vector, in double precision."""
     from sidforge.functions.vectors import usable

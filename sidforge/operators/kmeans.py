@@ -35,13 +35,14 @@ def spread_seeds(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random
 
 
 def small_kmeans(
-    points: np.ndarray, weights: np.ndarray, k: int, n_init: int = 8, max_iter: int = 50, seed: int = 42, init: np.ndarray | None = None, update_first: bool = True
+    points: np.ndarray, weights: np.ndarray, k: int, n_init: int = 8, max_iter: int = 50, seed: int = 42, init: np.ndarray | None = None, update_first: bool = True, refill: str = "spread"
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Centres, assignments and objective of the best restart, for points of codebook size.
 
     ``init`` serves the first restart, the others are seeded by :func:`spread_seeds` from ``seed + restart``; the first of
     equal objectives wins. A restart ends when assignments stay as they are. Empty clusters move to the points of greatest
-    weighted distance, each to another one. With ``update_first`` false, a restart whose first assignment is all zeros ends
+    weighted distance, each to another one (``refill`` "spread"), or, cluster by cluster in order, all to the one point of
+    greatest weighted distance, which goes over to the cluster before later means are taken ("single"). With ``update_first`` false, a restart whose first assignment is all zeros ends
     before any update (as a start from zero assignments would). As many clusters as points: the points themselves.
     """
     if points.ndim != 2 or len(points) != len(weights):
@@ -52,6 +53,8 @@ def small_kmeans(
         raise ValueError(f"initial centres must have shape {(k, points.shape[1])}")
     if not np.isfinite(points).all():
         raise ValueError("points must be finite")
+    if refill not in ("spread", "single"):
+        raise ValueError(f"unknown way to refill clusters: {refill}")
     if len(points) == k:
         return points.copy(), np.arange(k), 0.0
     points, weights = np.asarray(points, np.float64), np.maximum(np.asarray(weights, np.float64), LEAST_WEIGHT)
@@ -65,6 +68,9 @@ def small_kmeans(
             if (now == own).all():
                 break
             own = now
+            if refill == "single":
+                centers, own = _means_in_order(points, weights, centers, own, int((weights * gap.min(axis=1)).argmax()))
+                continue
             mass = np.bincount(own, weights, k)
             sums = np.stack([np.bincount(own, weights * points[:, j], k) for j in range(points.shape[1])], axis=1)
             filled = np.bincount(own, minlength=k) > 0
@@ -80,6 +86,18 @@ def small_kmeans(
     return best
 
 
+def _means_in_order(points: np.ndarray, weights: np.ndarray, centers: np.ndarray, own: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted means of the clusters, one after another; an empty one takes the point ``far`` from whichever has it by then."""
+    centers, own = centers.copy(), own.copy()
+    for cluster in range(len(centers)):
+        mine = own == cluster
+        if mine.any():
+            centers[cluster] = weights[mine] @ points[mine] / weights[mine].sum()
+        else:
+            centers[cluster], own[far] = points[far], cluster
+    return centers, own
+
+
 def by_weight(centers: np.ndarray, own: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Clusters renumbered by falling weight, the lower old number first among equals: centres, assignments, weights."""
     mass = np.bincount(own, weights, len(centers))
@@ -205,7 +223,9 @@ def relabel(sizes: DataFrame, weight: str = "weight", layer: str = "layer", clus
 def train_residual(points: DataFrame, sizes: list[int], max_iter: int = 20, seed: int = 42, sample_rows: int = 20_000) -> list[np.ndarray]:
     """A residual codebook from scratch: per layer seeds from a hash sample of bounded size, refined over all points."""
     layers: list[np.ndarray] = []
-    sample = np.array([r[0] for r in points.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()], np.float64)
+    n = points.count()
+    some = points if n <= sample_rows else points.where(F.xxhash64("id") < F.lit(int(sample_rows / n * 2**64) - 2**63))
+    sample = np.array([r["v"] for r in sorted(some.select("id", "v").collect(), key=lambda r: r["id"])], np.float64)  # about sample_rows rows
     for i, k in enumerate(sizes):
         if not 0 < k <= len(sample):
             raise ValueError(f"layer {i} needs between 1 and {len(sample)} centroids, {k} asked for")

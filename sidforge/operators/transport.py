@@ -71,13 +71,15 @@ def initial_rows(rows: DataFrame, transport: DataFrame, mode: str = "usage", usa
     """``layer, code, vec``: for each new code the weighted mean of the old rows mapped to it.
 
     ``rows`` is ``layer, code, vec``. A code that nothing is mapped to takes the old row of its number, or the last one;
-    weights that are not finite or don't sum above 0 give the plain mean of the layer's old rows. ``sizes(layer, new_size)``
+    weights that are not finite or don't sum above 0 give the plain mean of the layer's old rows; a transport row without an
+    old row is an error. ``sizes(layer, new_size)``
     defaults to the transport map's. All columns are summed in one grouped pass over (layer, target code, position).
     """
     require_columns(transport, REQUIRED, "transport map")
     weighted = transport.select("layer", F.col("teacher_code").cast("bigint").alias("code"), F.col("target_code").cast("bigint").alias("target"), row_weight(mode, usage_power, temperature).alias("w"))
     old = rows.select("layer", F.col("code").cast("bigint").alias("code"), F.col("vec").cast("array<double>").alias("vec"))
-    cells = old.join(weighted, ["layer", "code"]).select("layer", "target", "w", F.posexplode("vec").alias("at", "x"))
+    lacking = F.raise_error(F.concat_ws(" ", F.lit("no row of old code"), F.col("code"), F.lit("in layer"), F.col("layer"))).cast("array<double>")
+    cells = weighted.join(old, ["layer", "code"], "left").select("layer", "target", "w", F.posexplode(F.coalesce("vec", lacking)).alias("at", "x"))
     bad = F.max(F.isnan("w") | (F.abs("w") == math.inf))
     means = cells.groupBy("layer", "target", "at").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"), (~bad & (F.sum("w") > 0)).alias("good"))
     vectors = lambda df, *keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("vec"))
@@ -97,3 +99,10 @@ def initial_rows(rows: DataFrame, transport: DataFrame, mode: str = "usage", usa
     fallback = old.withColumnRenamed("vec", "old")
     chosen = F.coalesce("vec", F.when(F.col("void"), F.col("mean")), F.col("old"))
     return filled.join(fallback, ["layer", "code"]).select("layer", F.col("target").alias("code"), chosen.alias("vec"))
+
+
+def overwritten(model: DataFrame, new: DataFrame) -> DataFrame:
+    """``model(token_id, vec)`` with the rows of ``new(token_id, vec)`` in place of its own; a token that the model lacks is an error."""
+    unknown = F.raise_error(F.concat(F.lit("the model has no row of token "), F.col("token_id").cast("string"))).cast("array<double>")
+    both = model.select("token_id", F.col("vec").cast("array<double>").alias("_old")).join(new.select("token_id", F.col("vec").alias("_new")), "token_id", "full")
+    return both.select("token_id", F.when(F.col("_old").isNull(), unknown).otherwise(F.coalesce("_new", "_old")).alias("vec"))

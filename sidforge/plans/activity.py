@@ -35,9 +35,8 @@ def _item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with at least 1.5 % of all rows of their table."""
-    items = dominant_keys(_item_totals(spark, sf_dir), SHARE).select(F.lit("user_sequences").alias("table_name"), F.col("key").alias("key_value"))
-    sids = dense_key_totals(table(spark, sf_dir, "item_sid_map"), clean_id("sid"))
-    return items.unionByName(dominant_keys(sids, SHARE).select(F.lit("item_sid_map").alias("table_name"), F.col("key").alias("key_value")))
+    found = lambda name, key: dominant_keys(table(spark, sf_dir, name), clean_id(key), SHARE).select(F.lit(name).alias("table_name"), F.col("key").alias("key_value"))
+    return found("user_sequences", "parent_asin").unionByName(found("item_sid_map", "sid"))
 
 
 def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder of our own is
-    made, because a machine-local folder is not visible to the executors of a cluster.
+    It is the one named in ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own, since
+    all its threads see it; on a cluster it is an error, because a machine-local folder is not visible to the executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = getattr(scratch_root, "_own", None)
     if root is None:
         folder = tempfile.mkdtemp(prefix="sidforge-")
@@ -70,11 +73,6 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``; an upper-bound guide for broadcast decisions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     context = spark.sparkContext

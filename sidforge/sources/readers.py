@@ -26,16 +26,26 @@ def suffix(path: str) -> str:
     return kind
 
 
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """A CSV table with a header, all columns as strings; doubled quotes stand for one.
+
+    Files whose quoted fields hold line breaks must be read whole (``multi_line``), others can be split between tasks. Unless
+    told, the files are looked through first, in splits: a field that goes on leaves a line with an odd number of quotes.
+    """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+
+
 def read_by_suffix(spark: SparkSession, path: str) -> DataFrame:
     """A parquet or CSV table, CSV columns as strings."""
-    if suffix(path) == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return spark.read.parquet(path) if suffix(path) == "parquet" else read_csv(spark, path)
 
 
-def read_interactions(spark: SparkSession, path: str) -> DataFrame:
+def read_interactions(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Interactions CSV with a header, all columns as strings; quoted line breaks and doubled quotes are read."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    df = read_csv(spark, path, multi_line)
     require_columns(df, ["parent_asin"], "interactions")
     return df
 
@@ -43,9 +53,10 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata JSON lines with ``line_no``; blank lines are skipped, a malformed line is an error.
 
-    Line numbers come from the position in the file, which Spark keeps for whole splits read in order.
+    ``line_no`` orders lines by file, place of the split in it, and place in the split, however splits are packed into tasks.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value").where(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    lines = spark.read.text(path).select(place.alias("line_no"), "value").where(F.trim("value") != "")
     return lines.select("line_no", F.from_json("value", METADATA, {"mode": "FAILFAST"}).alias("m")).select("line_no", "m.*")
 
 
@@ -83,14 +94,20 @@ def _codes_or_sid(df: DataFrame):  # noqa: ANN202
     return F.coalesce(*have)
 
 
-def read_item_codes(spark: SparkSession, path: str, n_layers: int) -> DataFrame:
+def read_item_codes(spark: SparkSession, path: str, n_layers: int | None = None) -> DataFrame:
     """``item_id, codes`` cut to ``n_layers``; the codes column, where it can't be read the sid.
 
-    Rows without id or codes are dropped. Errors: shorter codes, no row, repeated ids.
+    Without ``n_layers`` the first readable row tells it. Rows without id or codes are dropped. Errors: shorter codes, no row,
+    repeated ids.
     """
     df = read_by_suffix(spark, path)
     rows = df.select(clean_id(F.col(id_column(df, "item codes")).cast("string")).alias("item_id"), _codes_or_sid(df).alias("codes")).where("item_id is not null and codes is not null")
     require_rows(rows, "item codes")
+    if n_layers is None:
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        placed = df.select("*", place.alias("_place"))
+        placed = placed.select("_place", clean_id(F.col(id_column(df, "item codes")).cast("string")).alias("item_id"), _codes_or_sid(df).alias("codes"))
+        n_layers = placed.where("item_id is not null and codes is not null").agg(F.min_by(F.size("codes"), "_place")).first()[0]
     require_none(rows, F.size("codes") < n_layers, f"items with fewer than {n_layers} codes")
     require_unique(rows, "item_id", "item codes")
     return rows.withColumn("codes", F.slice("codes", 1, n_layers))
@@ -119,11 +136,3 @@ def read_codebook(spark: SparkSession, path: str, n_layers: int | None = None) -
     df = spark.read.parquet(path)
     require_columns(df, ["layer", "code", "centroid"], "codebook")
     return Codebook.from_table(df.select("layer", "code", doubles("centroid").alias("centroid")), n_layers)
-
-
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Training records with a messages column, or prompt and completion."""
-    df = spark.read.parquet(path)
-    if "messages" not in df.columns and not {"prompt", "completion"} <= set(df.columns):
-        raise ValueError("records need a messages column, or prompt and completion")
-    return df

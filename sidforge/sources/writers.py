@@ -22,6 +22,10 @@ def derived_path(path: str, ending: str) -> str:
     return os.path.splitext(path.rstrip("/"))[0] + ending
 
 
+def embeddings_path(items: str) -> str:
+    return derived_path(items, "_embeddings.parquet")
+
+
 def codes_path(embeddings: str) -> str:
     return derived_path(embeddings, "_codes.parquet")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sidforge.functions.text import clean_id, epoch_millis
+from sidforge.operators import dense_keys
 from sidforge.operators.dense_keys import dense_key_totals, dominant_keys
 from sidforge.operators.sessions import sessionize
 
@@ -74,8 +75,15 @@ def test_dense_totals_equal_counts(spark, flush):
 
 def test_dominant_keys(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2 + [(None,)] * 4 + [(" ",)] * 4, "k string")
-    totals = dense_key_totals(df, clean_id("k"))
-    assert [r["key"] for r in dominant_keys(totals, 0.3).collect()] == ["a"]
-    assert {r["key"] for r in dominant_keys(totals, 0.125).collect()} == {"a", "b"}
+    assert [(r["key"], r["n_rows"]) for r in dominant_keys(df, clean_id("k"), 0.3).collect()] == [("a", 6)]
+    assert {r["key"] for r in dominant_keys(df, clean_id("k"), 0.125).collect()} == {"a", "b"}
     assert dense_key_totals(df.limit(0), F.col("k")).collect() == []
-    assert dominant_keys(dense_key_totals(df.limit(0), F.col("k")), 0.1).collect() == []
+    assert dominant_keys(df.limit(0), F.col("k"), 0.1).collect() == []
+
+
+def test_blocks_follow_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(dense_keys, "BLOCK_KEYS", 20)
+    df = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 500).alias("key")).repartition(9)
+    blocks, fan = dense_keys._shape(df)
+    assert 20 <= blocks <= 32 and fan == 3
+    assert {r["n_rows"] for r in dense_key_totals(df, F.col("key")).collect()} == {2}

@@ -78,6 +78,18 @@ def test_empty_clusters_move_to_distinct_far_points(spark):
     assert centers[1].tolist() == [0.0, 20.0] and centers[2].tolist() == [10.0, 0.0]
 
 
+def test_single_refill_takes_one_point_for_all_empty_clusters():
+    x = np.array([[0.0], [1.0], [10.0], [11.0]])
+    start = np.array([[0.5], [100.0], [200.0]])
+    # all four points are nearest to the first start; both empty clusters take the farthest point, 11, one after the other
+    centers, own, _ = kmeans.small_kmeans(x, np.ones(4), 3, 1, 1, init=start, refill="single")
+    assert centers.ravel().tolist() == [5.5, 11.0, 11.0] and own.tolist() == [0, 0, 1, 1]
+    spread, _, _ = kmeans.small_kmeans(x, np.ones(4), 3, 1, 1, init=start)
+    assert spread.ravel().tolist() == [5.5, 11.0, 10.0]
+    with pytest.raises(ValueError):
+        kmeans.small_kmeans(x, np.ones(4), 3, refill="other")
+
+
 def test_refine_equals_small_kmeans(spark):
     x = np.random.default_rng(5).normal(size=(300, 3))
     far, objectives = kmeans.refine(points(spark, x).repartition(3), x[:5], 20)
