@@ -188,8 +188,10 @@ def update_pairs(
 
 
 def _write_pairs(counted: DataFrame, path: str) -> None:
-    """One file a bucket and part: the rows are in place by bucket before they are written."""
-    counted.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """The rows are in place by bucket before they are written, so a part has few files."""
+    # buckets are cut further, as the cluster's parallelism asks, so no task has to write a whole one
+    cuts = max(1, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    counted.repartition("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(cuts))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _coded(eligible: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -39,8 +39,9 @@ def _kept_up(spark: SparkSession, sf_dir: str, *shares: float) -> DataFrame:
     """The pair table over all rows, built from those that arrived first and updated with each later part; shares of the rows part them by arrival."""
     rows = table(spark, sf_dir, "user_sequences")
     visits = lambda part: memberships(part, clean_id("user_id"), clean_id("parent_asin"))
-    cuts = rows.agg(F.percentile_approx(F.unix_micros("arrived_at"), [F.lit(s) for s in shares])).first()[0] or []
-    part = F.coalesce(sum((F.unix_micros("arrived_at") > c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(0))
+    arrived = F.unix_micros(F.col("arrived_at").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(arrived, list(shares))).first()[0] or []
+    part = F.coalesce(sum((arrived > c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(0))
     state = None
     for i in range(len(cuts) + 1):
         state = update_pairs(spark, state, visits(rows.where(part == i)))
