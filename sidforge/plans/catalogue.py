@@ -45,6 +45,11 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.min("codes").alias("codes"))
 
 
+def _cells(vector: F.Column) -> F.Column:
+    """All components of a vector in units of 1e-5, as text."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x * 100_000).cast("bigint").cast("string")), ",")
+
+
 def _text(codes: str) -> F.Column:
     return F.array_join(F.col(codes).cast("array<string>"), ",")
 
@@ -77,6 +82,10 @@ def _plus(a: str, b: str) -> str:
 _TEXT_CODES = "array_to_string({0}, ',')"
 
 
+def _sql_cells(vector: str) -> str:
+    return f"array_to_string(list_transform({vector}, lambda x: cast(round(x * 100000) as bigint)), ',')"
+
+
 def _encoded(source: str, first: str = "usable", codes: int = CODES) -> str:
     """CTEs ``near0 .. near2``, ``rest1 .. rest3`` and ``encoded`` over ``first(id, v)``, with the first codes of each layer."""
     parts = [source]
@@ -111,7 +120,7 @@ def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
     rows = _meta(spark, sf_dir)
     part = lambda d: items.MetaSource(rows.where(F.col("domain") == d), d, "row_no")
-    others = ["active_outdoor", "desk_office", "garden_yard", "nursery", "pet_care"]
+    others = sorted(r[0] for r in rows.where(F.col("domain").isNotNull() & (F.col("domain") != TARGET_DOMAIN)).select("domain").distinct().collect())  # one row a source file
     return items.prepare_items(table(spark, sf_dir, "user_sequences"), part(TARGET_DOMAIN), [part(d) for d in others], scope)
 
 
@@ -151,7 +160,7 @@ def text_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = V.unit(F.col("v"))
-    return _vectors(spark, sf_dir).select("id", F.round(V.total(u), 6).alias("total"), F.round(F.get(u, F.lit(0)), 6).alias("first"))
+    return _vectors(spark, sf_dir).select("id", _cells(u).alias("cells"))
 
 
 def residual_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +193,7 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def residual_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.decode(_codes(spark, sf_dir), _book(spark, sf_dir), out="v")
-    return rows.select("item_id", F.round(V.total(F.col("v")), 6).alias("total"), F.round(V.total(F.transform("v", lambda x: x * x)), 6).alias("squared_length"))
+    return rows.select("item_id", _cells(F.col("v")).alias("cells"))
 
 
 def recon_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,21 +291,34 @@ def train_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reconstruction_loss(C.encode(points, book, "v"), book, "v").select("n_items", "mse")
 
 
+def _distilled(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    """Distillation on the teacher's first 16 codes a layer, all of them in use, so no cluster is left empty; two refinement rounds."""
+    teacher = C.Codebook([c[:16] for c in _book(spark, sf_dir).layers])
+    return distill(_vectors(spark, sf_dir), teacher, [16] * LAYERS, refine_iter=2)
+
+
 def distilled_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = distill(_vectors(spark, sf_dir), _book(spark, sf_dir), [TARGETS] * LAYERS, refine_iter=5)
-    return done.items.select("item_id", _text("teacher_codes").alias("teacher_codes"), _text("codes").alias("codes"), "sid")
+    return _distilled(spark, sf_dir).items.select("item_id", _text("teacher_codes").alias("teacher_codes"), _text("codes").alias("codes"), "sid")
 
 
 def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distillation without compression (as many codes as the teacher has active ones), two refinement rounds a layer.
-
-    Rounds leave clusters empty here, and their repair by farthest points has no plain SQL.
-    """
-    stats = distill(_vectors(spark, sf_dir), _book(spark, sf_dir), [CODES] * LAYERS, refine_iter=2).stats["layer_stats"]
+    stats = _distilled(spark, sf_dir).stats["layer_stats"]
     rows = [(x["layer"], x["actual_target_size"], x["active_teacher_codes"], round(x["usage_coverage_ratio"], 8), round(x["layer_quantization_mse"], 6), int(x["top_refined_cluster_weights"][0])) for x in stats]
     return spark.createDataFrame(rows, "layer int, target_size bigint, active_codes bigint, coverage double, mse double, largest bigint")
 
 
+def compressed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distillation from all 128 codes a layer to 32; its seeds and repairs have no plain SQL."""
+    stats = distill(_vectors(spark, sf_dir), _book(spark, sf_dir), [TARGETS] * LAYERS, refine_iter=5).stats["layer_stats"]
+    return spark.createDataFrame([(x["layer"], x["actual_target_size"], round(x["layer_quantization_mse"], 6)) for x in stats], "layer int, target_size bigint, mse double")
+
+
+def farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors farthest from the first eight centroids of layer 0; the number is the operator's feature."""
+    rows = kmeans.farthest(_points(spark, sf_dir), _book(spark, sf_dir).layers[0][:8], 20)
+    return spark.createDataFrame([(r.tolist(),) for r in rows], "v array<double>").select(_cells(F.col("v")).alias("cells"))
+
+
 # --- transport -------------------------------------------------------------------------------------------------------
 
 
@@ -322,7 +344,7 @@ def _init_rows(mode: str):  # noqa: ANN202
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         old = table(spark, sf_dir, "codebook").select("layer", "code", F.col("centroid").alias("vec"))
         rows = transport.initial_rows(old, _transport(spark, sf_dir), mode, 0.5, 0.25)
-        return rows.select("layer", "code", F.round(V.total(F.col("vec")), 6).alias("total"), F.round(V.total(F.transform("vec", lambda x: x * x)), 6).alias("squared_length"))
+        return rows.select("layer", "code", _cells(F.col("vec")).alias("cells"))
 
     return run
 
@@ -341,6 +363,10 @@ def vocab_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.resolve_tokens(tokens, _vocabulary(spark, sf_dir)).select("layer", "code", "token", "token_id")
 
 
+def flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoding.flat_ids(vocab_resolve(spark, sf_dir)).withColumn("nth", F.col("nth").cast("bigint"))
+
+
 def sid_suffix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = decoding.suffix_tokens(_codes(spark, sf_dir), _vocabulary(spark, sf_dir), "item_id")
     return ids.select("item_id", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("token_ids"))
@@ -383,7 +409,7 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source = 'chat' and text is not null")
+    docs = table(spark, sf_dir, "documents").where("source = 'chat' and text is not null")  # the other sources are no conversations
     from_json = chat.messages_from_json(F.col("text"))
     return docs.select("doc_id", F.coalesce(from_json, chat.messages_from_lines(F.col("text"))).alias("messages"))
 
@@ -402,28 +428,32 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir)
 
 
+def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records straight from the conversations that have a prompt and a completion; others would be an error."""
+    records = chat.prompt_completion_records(_conversations(spark, sf_dir).join(_records(spark, sf_dir).select("doc_id"), "doc_id", "left_semi"))
+    return records.select("doc_id", "prompt", "completion")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.encode_pair(_records(spark, sf_dir), max_length=512)
 
 
 def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return _pairs(spark, sf_dir).select("doc_id", F.size("input_ids").alias("n"), total("input_ids").alias("id_sum"), total("labels").alias("label_sum"), total("attention_mask").alias("mask_sum"))
+    return _pairs(spark, sf_dir).select("doc_id", *(_text(c).alias(c) for c in ("input_ids", "labels", "attention_mask")))
 
 
 def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 16 consecutive document numbers, padded with id 50256."""
     batched = _pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 16))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return chat.collate(batched, pad_id=0, end_id=50256).select("doc_id", F.size("input_ids").alias("n"), total("input_ids").alias("id_sum"), total("labels").alias("label_sum"), total("attention_mask").alias("mask_sum"))
+    return chat.collate(batched, pad_id=0, end_id=50256).select("doc_id", *(_text(c).alias(c) for c in ("input_ids", "labels", "attention_mask")))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         distinct_items, item_texts, items_upsert, items_labels_only, missing_meta, item_sid_map, text_embed, l2_normalize, residual_encode, streaming_encode, residual_decode, recon_mse, sampled_loss,
-        reencode, sid_render, sid_parse, codes_parse, sid_collision, code_usage, code_coverage, last_token_pool, kmeans_refine, cluster_relabel, kmeans_pp_seed, train_codebook, distilled_map, layer_stats, transport_map,
-        layer_sizes_transport, layer_sizes_sid, vocab_resolve, sid_suffix_tokens, trie_children, trie_allowed, recall_ndcg_at_k, mean_metrics, prompt_split, prompt_render, encode_pair, collate,
+        reencode, sid_render, sid_parse, codes_parse, sid_collision, code_usage, code_coverage, last_token_pool, kmeans_refine, cluster_relabel, kmeans_pp_seed, train_codebook, distilled_map, layer_stats, compressed_stats, farthest, transport_map,
+        layer_sizes_transport, layer_sizes_sid, vocab_resolve, flat_ids, sid_suffix_tokens, trie_children, trie_allowed, recall_ndcg_at_k, mean_metrics, prompt_split, prompt_render, training_records, encode_pair, collate,
     )
 } | {f"init_rows_{m}": _init_rows(m) for m in transport.WEIGHT_MODES}
 
@@ -452,7 +482,7 @@ _LINES = ", ".join(
 )
 _SEEN = f"seen as (select distinct {sql_clean('parent_asin')} as item_id from user_sequences where {sql_clean('parent_asin')} is not null)"
 _PREPARED = f"""{_SEEN}, lines as (
-  select {sql_clean("parent_asin")} as item_id, row_no, domain, title, case domain when '{TARGET_DOMAIN}' then 0 when 'active_outdoor' then 1 when 'desk_office' then 2 when 'garden_yard' then 3 when 'nursery' then 4 when 'pet_care' then 5 end as n
+  select {sql_clean("parent_asin")} as item_id, row_no, domain, title, cast(case when domain = '{TARGET_DOMAIN}' then 0 else dense_rank() over (order by case when domain != '{TARGET_DOMAIN}' then domain end nulls last) end as integer) as n
   from item_meta where {sql_clean("parent_asin")} is not null and domain is not null
 ), parts as (
   select item_id, n, domain, arg_max({{'t': title}}, row_no).t as title, min(row_no) as first_line from lines where n is not null group by item_id, n, domain
@@ -480,10 +510,10 @@ def _init_sql(mode: str) -> str:
     ), sized as (select layer, max(target_code) + 1 as n from mapped group by layer
     ), wanted as (select layer, unnest(range(n)) as code from sized
     ), filled as (
-      select w.layer, w.code, m.x from wanted w join means m on m.layer = w.layer and m.target_code = w.code
+      select w.layer, w.code, m.pos, m.x from wanted w join means m on m.layer = w.layer and m.target_code = w.code
       union all
-      select w.layer, w.code, unnest(c.centroid) from wanted w join codebook c on c.layer = w.layer and c.code = least(w.code, 127) where not exists (select 1 from means m where m.layer = w.layer and m.target_code = w.code)
-    ) select layer, code, round(sum(x), 6) as total, round(sum(x * x), 6) as squared_length from filled group by all"""
+      select w.layer, w.code, generate_subscripts(c.centroid, 1), unnest(c.centroid) from wanted w join codebook c on c.layer = w.layer and c.code = least(w.code, 127) where not exists (select 1 from means m where m.layer = w.layer and m.target_code = w.code)
+    ) select layer, code, {_sql_cells('list(x order by pos)')} as cells from filled group by layer, code"""
 
 
 def _lloyd_sql(rounds: int) -> str:
@@ -495,6 +525,27 @@ def _lloyd_sql(rounds: int) -> str:
     return f"with {_USABLE}, {', '.join(steps)} select cast(near.k as integer) as cluster, count(*) as size, (select round(sum(near.d), 5) from own{rounds}) as objective from own{rounds} group by 1"
 
 
+def _distil_sql(rounds: int, size: int) -> str:
+    """Distillation without compression in plain SQL: ``encoded`` by the teacher, ``finals(layer, id, k, d)``, ``done0..2(id, code)``."""
+    steps = [_encoded(_USABLE, codes=size)]
+    for i in range(LAYERS):
+        rest = "usable" if i == 0 else f"left{i}"
+        steps.append(f"start{i} as materialized (select row_number() over (order by count(*) desc, c.code) - 1 as k, any_value(c.centroid) as c from encoded e join codebook c on c.layer = {i} and c.code = e.codes[{i + 1}] group by c.code)")
+        centers = f"start{i}"
+        for r in range(rounds + 1):
+            steps.append(f"own{i}_{r} as materialized (select u.id, any_value(u.v) as v, min({{'d': {_gap('u.v', 'c.c')}, 'k': c.k}}) as near from {rest} u, {centers} c group by u.id)")
+            if r < rounds:
+                steps.append(f"centers{i}_{r} as materialized (select k, list(x order by pos) as c from (select near.k as k, pos, avg(x) as x from (select near, unnest(v) as x, generate_subscripts(v, 1) as pos from own{i}_{r}) group by 1, 2) group by k)")
+                centers = f"centers{i}_{r}"
+        steps.append(f"rank{i} as (select near.k as k, row_number() over (order by count(*) desc, near.k) - 1 as code from own{i}_{rounds} group by near.k)")
+        steps.append(f"done{i} as materialized (select id, code from own{i}_{rounds} join rank{i} r on r.k = near.k)")
+        steps.append(f"left{i + 1} as materialized (select o.id, {_minus('o.v', 'c.c')} as v from own{i}_{rounds} o join {centers} c on c.k = o.near.k)")
+    finals = " union all ".join(f"select {i} as layer, id, near.k as k, near.d as d from own{i}_{rounds}" for i in range(LAYERS))
+    starts = " union all ".join(f"select {i} as layer, count(*) as n_start from start{i}" for i in range(LAYERS))
+    return f"with {', '.join(steps)}, finals as ({finals}), starts as ({starts}) "
+
+
+_DISTIL = _distil_sql(2, 16)
 _TOKENS = "vocabulary as (select '<s_' || chr(97 + layer) || '_' || code || '>' as token, cast(50257 + layer * 128 + code as bigint) as token_id, layer, cast(code as bigint) as code from codebook)"
 _PREFIXES = f"{_CODES}, steps as (select '' as prefix, codes[1] as token from coded union select cast(codes[1] as varchar), codes[2] from coded union select codes[1] || ',' || codes[2], codes[3] from coded), trie as (select prefix, array_to_string(list(token order by token), ',') as allowed from steps group by prefix)"
 _RANKED = f"""clicks as (
@@ -518,8 +569,8 @@ _CHAT = f"""chats as (
 ), encoded as (
   select doc_id, list_transform(string_split(prompt, ''), lambda c: cast(unicode(c) as bigint)) as p, list_transform(string_split(completion || '<|im_end|>', ''), lambda c: cast(unicode(c) as bigint)) as c from records
 ), pairs as (
-  select doc_id, least(len(p) + len(c), 512) as n, list_sum(list_slice(list_concat(p, c), greatest(len(p) + len(c) - 511, 1), len(p) + len(c))) as id_sum,
-  list_sum(list_slice(list_concat(list_transform(p, lambda x: cast(-100 as bigint)), c), greatest(len(p) + len(c) - 511, 1), len(p) + len(c))) as label_sum from encoded
+  select doc_id, least(len(p) + len(c), 512) as n, list_slice(list_concat(p, c), greatest(len(p) + len(c) - 511, 1), len(p) + len(c)) as ids,
+  list_slice(list_concat(list_transform(p, lambda x: cast(-100 as bigint)), c), greatest(len(p) + len(c) - 511, 1), len(p) + len(c)) as labels from encoded
 )"""
 
 ORACLES = {
@@ -529,11 +580,11 @@ ORACLES = {
     "items_labels_only": f"with {_LABELS} select domain, is_target_candidate, count(*) as n_items from prepared group by all",
     "missing_meta": f"with {_ALL} select item_id from seen where item_id not in (select item_id from prepared)",
     "item_sid_map": f"with {_ALL}, {_CODES} select item_id, domain, {_TEXT_CODES.format('codes')} as codes, {_SID.format('codes')} as sid from prepared join coded using (item_id)",
-    "l2_normalize": f"with {_USABLE}, units as (select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from usable) select id, round(list_sum(u), 6) as total, round(u[1], 6) as first from units",
+    "l2_normalize": f"with {_USABLE}, units as (select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from usable) select id, {_sql_cells('u')} as cells from units",
     "residual_encode": f"with {_ENCODED} select id, {_TEXT_CODES.format('codes')} as codes from encoded",
     "streaming_encode": f"with {_encoded(_ARRIVED, 'arrived')} select item_id, {_SID.format('codes')} as sid, count(*) as n_rows from encoded join arrived using (id) group by 1, 2",
     "reencode": f"with {_encoded(_DECODED + ', restored as (select item_id as id, v from decoded)', 'restored', TARGETS)}, both_sides as (select u.v as x, {_minus('u.v', 'r.v')} as y from restored u join rest3 r using (id)) {_LOSS} from both_sides",
-    "residual_decode": f"with {_DECODED} select item_id, round(list_sum(v), 6) as total, round(list_sum(list_transform(v, lambda x: x * x)), 6) as squared_length from decoded",
+    "residual_decode": f"with {_DECODED} select item_id, {_sql_cells('v')} as cells from decoded",
     "recon_mse": f"with {_ENCODED}, both_sides as (select u.v as x, {_minus('u.v', 'r.v')} as y from usable u join rest3 r using (id)) {_LOSS}{_RELATIVE} from both_sides",
     "sampled_loss": f"with {_ENCODED}, both_sides as (select u.v as x, {_minus('u.v', 'r.v')} as y from (select * from usable order by ord limit 10000) u join rest3 r using (id)) {_LOSS}{_RELATIVE} from both_sides",
     "sid_render": f"select {sql_clean('pid')} as item_id, {_SID.format('codes')} as sid from item_codes where codes is not null and len(list_filter(codes, lambda c: c is null)) = 0",
@@ -557,6 +608,14 @@ ORACLES = {
     "mean_metrics": f"with {_RANKED} select " + ", ".join(f"round(coalesce(avg(cast({s} as double)), 0.0), 8) as {c}" for c, s in _METRIC_SQL.items()) + " from ranked",
     "prompt_split": f"with {_CHAT} select doc_id, cast(n_prompt as integer) as n_prompt, completion from records",
     "prompt_render": f"with {_CHAT} select doc_id, prompt, completion || '<|im_end|>' as completion from records",
-    "encode_pair": f"with {_CHAT} select doc_id, cast(n as integer) as n, cast(id_sum as bigint) as id_sum, cast(label_sum as bigint) as label_sum, cast(n as bigint) as mask_sum from pairs",
-    "collate": f"with {_CHAT}, wide as (select *, max(n) over (partition by doc_id // 16) as longest from pairs) select doc_id, cast(longest as integer) as n, cast(id_sum + (longest - n) * 50256 as bigint) as id_sum, cast(label_sum - (longest - n) * 100 as bigint) as label_sum, cast(n as bigint) as mask_sum from wide",
+    "encode_pair": f"with {_CHAT} select doc_id, array_to_string(ids, ',') as input_ids, array_to_string(labels, ',') as labels, array_to_string(list_transform(ids, lambda x: 1), ',') as attention_mask from pairs",
+    "collate": f"""with {_CHAT}, wide as (select *, max(n) over (partition by doc_id // 16) as longest from pairs), filled as (select *, range(longest - n) as more from wide)
+        select doc_id, array_to_string(list_concat(ids, list_transform(more, lambda x: cast(50256 as bigint))), ',') as input_ids, array_to_string(list_concat(labels, list_transform(more, lambda x: cast(-100 as bigint))), ',') as labels,
+        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(more, lambda x: 0)), ',') as attention_mask from filled""",
+    "training_records": f"with {_CHAT} select doc_id, prompt, completion || '<|im_end|>' as completion from records",
+    "flat_ids": f"with {_USAGE}, {_TOKENS}, sized as (select layer, max(code) + 1 as n from used group by layer) select row_number() over (order by v.layer, v.code) - 1 as nth, v.token_id from vocabulary v join sized s on s.layer = v.layer and v.code < s.n",
+    "farthest": f"with {_USABLE}, gaps as (select u.id, any_value(u.v) as v, min({_gap('u.v', 'c.centroid')}) as gap from usable u, codebook c where c.layer = 0 and c.code < 8 group by u.id) select {_sql_cells('v')} as cells from gaps order by gap desc, id limit 20",
+    "layer_stats": _DISTIL + "select layer, n_start as target_size, n_start as active_codes, cast(n_start as double) / 16 as coverage, round(sum(d) / (count(*) * 64), 6) as mse, (select max(n) from (select layer as l, k, count(*) as n from finals group by 1, 2) where l = layer) as largest from finals join starts using (layer) group by layer, n_start",
+    "distilled_map": _DISTIL + f"""select id as item_id, {_TEXT_CODES.format('teacher')} as teacher_codes, {_TEXT_CODES.format('codes')} as codes, {_SID.format('codes')} as sid from
+        (select e.id, e.codes as teacher, [cast(a.code as bigint), cast(b.code as bigint), cast(c.code as bigint)] as codes from encoded e join done0 a using (id) join done1 b using (id) join done2 c using (id))""",
 } | {f"init_rows_{m}": _init_sql(m) for m in transport.WEIGHT_MODES}
