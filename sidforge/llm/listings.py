@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import defaultdict
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sidforge.llm.graph import connected_components
@@ -54,21 +56,35 @@ _COLOUR = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _COLOUR_OF), key=le
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
 _VISIT = re.compile(r"^visit the (.+) store$")
 
-DIM = 48
+DIM = 64
 BUCKETS = 1 << 14
+#: Hash slots in which the texts with a word are counted.
+RARITY_SLOTS = 1 << 16
 TRAINING_ROWS = 4_096
-STEPS = 150
+STEPS = 80
 BATCH = 256
-#: Cosine from which a neighbour is a candidate; its attributes and names decide.
-NEAR = 0.65
+TEMPERATURE, RATE = 0.2, 0.03
+#: Bounds of the rarity that weights a word, as logarithms of one in how many texts.
+COMMON, RARE = 4.0, 7.0
+#: Nearest neighbours of a listing, without a veto, that count.
+NEIGHBOURS = 24
+#: Stands for the similarity of a listing to the least id of those that agree with it, where these outnumber NEIGHBOURS.
+HUB = 2.0
 #: Difference of two log sizes that rounding in another unit explains.
 SIZE_SLACK = 0.03
-#: The rows whose exact neighbours tune the number of probes, and the share of neighbours that must be found.
+#: The rows whose exact nearest neighbours tune the number of probes, how many neighbours, and the share that must be found.
 TUNING_ROWS = 512
-TUNING_RECALL = 0.98
-LIST_ROWS = 256
+EXACT = 16
+TUNING_RECALL = 0.995
+LIST_ROWS = 512
+#: Nearest lists that an entry is a member of; as a query it looks into the probed ones.
+MEMBER_LISTS = 4
+#: Lists at most (of a million entries and more); longer lists are searched in tiles.
 MAX_LISTS = 4_096
+#: Rows per list that its centroid is fitted to.
+CENTROID_ROWS = 20
 TILE_ROWS = 8_192
+LANES = 32
 
 
 def plain(text: str) -> str:
@@ -210,77 +226,100 @@ def describe(title: str | None, store: str | None, description: list[str | None]
 # the title encoder
 
 
-def subwords(text: str) -> list[int]:
-    """Hashed character three- and four-grams of the words of ``text``, and the words themselves."""
+@functools.lru_cache(maxsize=1 << 17)
+def subwords(word: str) -> tuple[int, ...]:
+    """Hashed character two- and three-grams of ``word``; a slip leaves most of them."""
     import xxhash
 
-    grams = []
-    for word in text.split():
-        padded = f"<{word}>"
-        grams.append(padded)
-        for n in (3, 4):
-            grams += [padded[i : i + n] for i in range(len(padded) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams] or [0]
+    padded = f"<{word}>"
+    grams = [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
+    return tuple(xxhash.xxh32_intdigest(g) % BUCKETS for g in grams)
 
 
-def slip(text: str, rng: np.random.Generator) -> str:
-    """``text`` with one slip of the keyboard, and perhaps a word left out."""
-    words = text.split()
-    if len(words) > 2 and rng.random() < 0.2:
-        words.pop(int(rng.integers(len(words))))
-    i = int(rng.integers(len(words))) if words else 0
-    if words and len(words[i]) > 3:
-        w, at = words[i], int(rng.integers(1, len(words[i]) - 1))
-        words[i] = [w[:at] + w[at + 1 :], w[:at] + w[at] + w[at:], w[:at] + w[at + 1] + w[at] + w[at + 2 :], w[:at] + chr(97 + int(rng.integers(26))) + w[at + 1 :]][int(rng.integers(4))]
-    rng.shuffle(words)
-    return " ".join(words)
+@functools.lru_cache(maxsize=1 << 17)
+def word_slot(word: str) -> int:
+    """Place of ``word`` among the RARITY_SLOTS counts of texts by hashed word."""
+    import xxhash
 
+    return xxhash.xxh32_intdigest(word, seed=5) % RARITY_SLOTS
 
-class Encoder:
-    """Mean of subword vectors, scaled to unit length; trained so that a text is closer to its own slips than to other texts."""
 
-    def __init__(self, seed: int = 17):
-        self.table = np.random.default_rng(seed).normal(0, 1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
+def slip(word: str, rng: np.random.Generator) -> str:
+    """``word`` with one slip of the keyboard; short ones stay as they are."""
+    if len(word) < 4:
+        return word
+    at = int(rng.integers(1, len(word) - 1))
+    return [word[:at] + word[at + 1 :], word[:at] + word[at] + word[at:], word[:at] + word[at + 1] + word[at] + word[at + 2 :], word[:at] + chr(97 + int(rng.integers(26))) + word[at + 1 :]][int(rng.integers(4))]
+
+
+def view(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Another wording of a listing: some words left out, now and then a slip."""
+    kept = [w for w in words if rng.random() > 0.3] or words
+    return [slip(w, rng) if rng.random() < 0.3 else w for w in kept]
+
+
+class Encoder:
+    """Unit vectors of texts: the sum of their words' vectors, each the mean of its subwords' vectors, weighted by how rare the word is.
 
-    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams = [subwords(t) for t in texts]
-        flat = np.concatenate([np.asarray(g) for g in grams])
-        sizes = np.array([len(g) for g in grams])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        return np.add.reduceat(self.table[flat], starts, axis=0), flat, sizes
+    A word that more than one of some 55 texts has hardly counts (COMMON, in natural logarithms), and beyond RARE rarity adds
+    nothing: a word seen once is as likely a slip as a name. Trained so that two wordings of one listing are closer than
+    those of others.
+    """
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __init__(self, texts_with: np.ndarray, texts: int, seed: int = 17):
+        self.table = np.random.default_rng(seed).normal(0, 1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
+        rarity = np.minimum(np.log((texts + 1) / (texts_with + 0.5)), RARE) - COMMON
+        self.rarity = np.square(np.maximum(rarity, 0.02)).astype(np.float32)
+        self.known: dict[str, np.ndarray] = {}
+
+    def word(self, word: str) -> np.ndarray:
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = self.table[list(subwords(word))].mean(axis=0) * self.rarity[word_slot(word)]
+        return self.known[word]
+
+    def __call__(self, texts: list[list[str]]) -> np.ndarray:
         if not texts:
             return np.zeros((0, DIM), np.float32)
-        sums, _, _ = self._sums(texts)
+        words = [w for t in texts for w in (t or [""])]
+        starts = np.r_[0, np.cumsum([max(1, len(t)) for t in texts])[:-1]]
+        sums = np.add.reduceat(np.stack([self.word(w) for w in words]), starts, axis=0)
         return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
-    def train(self, texts: list[str], steps: int = STEPS, batch: int = BATCH, temperature: float = 0.1, rate: float = 0.05) -> Encoder:
-        """Contrastive training on ``texts``: the other texts of a batch are the negatives.
-
-        One step for eight texts at most; with few texts, more steps would part a name from its own spellings.
-        """
+    def train(self, texts: list[list[str]], steps: int = STEPS, batch: int = BATCH, temperature: float = TEMPERATURE, rate: float = RATE) -> Encoder:
+        """Contrastive training: two wordings of a listing belong together, the other listings of a batch are the negatives."""
         rng = np.random.default_rng(23)
-        history = np.full((BUCKETS, 1), 1e-6, np.float32)
         for _ in range(min(steps, len(texts) // 8)):
             chosen = [texts[i] for i in rng.choice(len(texts), min(batch, len(texts)), replace=False)]
-            both = [*chosen, *(slip(t, rng) for t in chosen)]
-            sums, flat, sizes = self._sums(both)
+            n = len(chosen)
+            views = [*(view(t, rng) or [""] for t in chosen), *(view(t, rng) or [""] for t in chosen)]
+            words = sorted({w for t in views for w in t})
+            place = {w: i for i, w in enumerate(words)}
+            of_text = np.array([place[w] for t in views for w in t])
+            owner = np.repeat(np.arange(2 * n), [len(t) for t in views])
+            grams = [subwords(w) for w in words]
+            flat, sizes = np.concatenate([np.asarray(g) for g in grams]), np.array([len(g) for g in grams])
+            weight = self.rarity[[word_slot(w) for w in words]][:, None]
+            vectors = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] * weight
+            sums = np.add.reduceat(vectors[of_text], np.flatnonzero(np.r_[True, np.diff(owner) > 0]), axis=0)
             norm = np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
             v = sums / norm
-            n = len(chosen)
             logits = v[:n] @ v[n:].T / temperature
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(n), np.arange(n)] -= 1
-            g = np.vstack([p @ v[n:], p.T @ v[:n]]) / (temperature * n)
+            g = np.vstack([p @ v[n:], p.T @ v[:n]]) / temperature
             g = (g - v * (g * v).sum(axis=1, keepdims=True)) / norm
-            rows = np.repeat(g, sizes, axis=0)
-            unique, inverse = np.unique(flat, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            total = np.add.reduceat(rows[order], np.r_[0, np.cumsum(np.bincount(inverse))[:-1]], axis=0)
-            history[unique] += (total**2).mean(axis=1, keepdims=True)
-            self.table[unique] -= rate * total / np.sqrt(history[unique])
+            order = np.argsort(of_text, kind="stable")
+            by_word = np.add.reduceat(g[owner[order]], np.flatnonzero(np.r_[True, np.diff(of_text[order]) > 0]), axis=0) * weight / sizes[:, None]
+            # every subword moves by at most the rate, against its gradient
+            order = np.argsort(flat, kind="stable")
+            moved, starts = np.unique(flat[order], return_index=True)
+            total = np.add.reduceat(np.repeat(by_word, sizes, axis=0)[order], starts, axis=0)
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            self.table[moved] -= rate * total / np.maximum(length, max(float(np.median(length)), 1e-9))
+        self.known.clear()
         return self
 
 
@@ -392,21 +431,20 @@ def learn_words(rows: DataFrame) -> Words:
 _FIELDS = "brand string, series string, kind int, code string, part boolean, size_kind string, size double, colour string, pack int"
 
 
-def product_groups(df: DataFrame, key: str, line_no: str, title: str, store: str, description: str, categories: str, near: float = NEAR, tile_rows: int = TILE_ROWS) -> DataFrame:
+def product_groups(df: DataFrame, key: str, line_no: str, title: str, store: str, description: str, categories: str, k: int = NEIGHBOURS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Listings grouped by product: ``id, product``, the product being the smallest id of its group.
 
-    Of several lines of an id the one with the highest ``line_no`` counts; null ids are dropped (trim them before). What a
-    listing says is read from title, store, description and last category: maker, line, model code, kind of thing, size
-    (converted to base units), colour, pack count, and whether it is a part for the thing. Lines that tell no line and no
-    code (also those with nothing but the id) are no product and get no row.
-
-    Listings whose readings are equal are one entry. The names of the entries (maker, line, kind) go through a contrastively
-    trained subword encoder into an inverted file; the number of probed lists is raised until the exact neighbours of a sample
-    are found. Neighbours are vetoed when maker or kind differ or when the line names are more than slips apart; names that
-    are in each other's remaining neighbours are spellings of one. Entries of one name or its spellings are linked unless
-    size (3 %), pack, colour, part or code veto it, and linked entries are one product.
-
-    Equal inputs give equal groups; ties can't arise. An empty table gives an empty result. Extra columns are ignored.
+    Of several lines of an id the one with the highest ``line_no`` counts; null ids are dropped (trim them before). Every
+    distinct listing text (title, store, description) is encoded by a contrastively trained subword encoder and kept in an
+    inverted file; the number of probed lists is raised until the exact neighbours of a sample are found. A neighbour is
+    vetoed when the two listings differ in what they say of size (3 %, converted to base units), pack count, colour, model
+    code, being a part for the thing, kind of thing, maker, or when their line names are more than slips apart. Listings that
+    are among each other's ``k`` nearest without a veto are linked, and linked listings are one product. Where more than ``k`` listings
+    of a list agree with one, it is also linked to the least id of them, so a product with any number of listings stays whole.
+
+    Lines that tell no line and no code (also those with nothing but the id) are no product and get no row. Listings of equal
+    text are one entry of the index. Equal inputs give equal groups; ties are settled by id. An empty table gives an empty
+    result. Extra columns are ignored.
     """
     spark = df.sparkSession
     leaf = F.when(F.size(categories) >= 2, F.element_at(categories, -1)).alias("leaf")
@@ -418,39 +456,45 @@ def product_groups(df: DataFrame, key: str, line_no: str, title: str, store: str
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = words.value
         for frame in frames:
-            found = [(i, describe(t, s, d, c, w)) for i, t, s, d, c in zip(frame["id"], frame["title"], frame["store"], frame["description"], frame["leaf"])]
-            yield pd.DataFrame([{"id": i, **f} for i, f in found if f], columns=["id", *(x.split()[0] for x in _FIELDS.split(", "))])
-
-    told = materialize(latest.mapInPandas(read, f"id string, {_FIELDS}"), "told")
-    signature = ["brand", "series", "kind", "code", "part", "size_kind", "size", "colour", "pack"]
-    entries = told.groupBy(*signature).agg(F.min("id").alias("id"))
-    line = F.concat_ws(" ", F.when(F.col("brand") != "", F.col("brand")), F.coalesce(F.when(F.col("series") != "", F.col("series")), F.col("code")), F.when(F.col("kind") >= 0, F.concat(F.lit("kind"), "kind")))
-    entries = materialize(entries.withColumn("line", line), "entries")
-    lines = entries.select("line", "brand", "series", "kind", F.when(F.col("series") == "", F.col("code")).otherwise("").alias("code")).distinct()
-    lines = materialize(lines, "lines")
-    n = lines.count()
+            out = []
+            for i, t, s, d, c in zip(frame["id"], frame["title"], frame["store"], frame["description"], frame["leaf"]):
+                facts = describe(t, s, d, c, w)
+                if facts:
+                    said = " ".join([t or "", s or "", *(x for x in (d if d is not None else []) if x)])
+                    out.append({"id": i, "text": " ".join(_WORD.findall(plain(said))), **facts})
+            yield pd.DataFrame(out, columns=["id", "text", *(x.split()[0] for x in _FIELDS.split(", "))])
+
+    told = materialize(latest.mapInPandas(read, f"id string, text string, {_FIELDS}"), "told")
+    signature = ["text", "brand", "series", "kind", "code", "part", "size_kind", "size", "colour", "pack"]
+    entries = materialize(told.groupBy(*signature).agg(F.min("id").alias("id")), "entries")
+    n = entries.count()
     if not n:
         return spark.createDataFrame([], "id string, product string")
-    slips = near_lines(lines, n, near, tile_rows)
-    links = entry_links(entries, lines, slips)
+    links = mutual_neighbours(entries, n, k, tile_rows)
     components = connected_components(links)
     named = entries.join(components.withColumnRenamed("node", "id"), "id", "left").select(*signature, F.coalesce("component", "id").alias("product"))
     # the entry's smallest id stands for it, so a product's name is the smallest id of all its listings
     return told.join(named, signature).select("id", "product")
 
 
-def entry_links(entries: DataFrame, lines: DataFrame, slips: DataFrame) -> DataFrame:
-    """``a, b``: entries of one line, or of lines that are spellings of one, whose numbers and words agree."""
-    pairs_of_lines = slips.select("a", "b").unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(lines.select(F.col("line").alias("a"), F.col("line").alias("b")).distinct())
-    facts = ["part", "pack", "colour", "size_kind"]
-    side = lambda x: entries.select(F.col("id").alias(f"id_{x}"), F.col("line").alias(x), *facts, F.col("size").alias(f"size_{x}"), F.col("code").alias(f"code_{x}"))
-    joined = side("a").join(pairs_of_lines, "a").join(side("b"), ["b", *facts])
-    same_size, same_code = F.abs(F.col("size_a") - F.col("size_b")) <= SIZE_SLACK, (F.col("code_a") == F.col("code_b")) | (F.col("code_a") == "") | (F.col("code_b") == "")
-    by_line = joined.where((F.col("id_a") < F.col("id_b")) & same_size & same_code).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    # a listing that names no line, only a code
-    coded = entries.where("series = '' and code != ''").select(F.col("id").alias("a"), "code", *facts, F.col("size").alias("size_a"))
-    others = entries.where("series != '' and code != ''").select(F.col("id").alias("b"), "code", *facts, F.col("size").alias("size_b"))
-    return by_line.unionByName(coded.join(others, ["code", *facts]).where(same_size).select("a", "b"))
+def texts_by_word(texts: DataFrame) -> np.ndarray:
+    """Number of texts with a word of each hash slot, over all rows of ``texts(text)``: arrays per split, summed in lanes and here."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total[list({word_slot(w) for w in text.split()})] += 1
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % LANES], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lane", "total"])
+
+    def lane(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b, np.int64) for b in group.column("total").to_pylist()], axis=0)
+        return pa.table([group.column("lane").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["lane", "total"])
+
+    rows = texts.select("text").mapInArrow(split, "lane int, total binary").groupBy("lane").applyInArrow(lane, "lane int, total binary").collect()  # at most LANES rows
+    return np.sum([np.frombuffer(r["total"], np.int64) for r in rows], axis=0) if rows else np.zeros(RARITY_SLOTS, np.int64)
 
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -464,83 +508,135 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def near_lines(lines: DataFrame, n: int, near: float, tile_rows: int) -> DataFrame:
-    """``a, b``: mutual neighbours among the lines that no veto parts."""
-    spark = lines.sparkSession
-    texts = [r[0] for r in lines.select("line").orderBy(F.xxhash64("line"), "line").limit(TRAINING_ROWS).collect()]
-    encoder = spark.sparkContext.broadcast(Encoder().train(sorted(set(texts))))
+def _nearest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest values of each row, greatest first."""
+    k = min(k, s.shape[1])
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(k), s.shape)
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+
+
+def _packed(v: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in v.astype(np.float16)]
+
+
+def _unpacked(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float16).reshape(-1, DIM).astype(np.float32)
+
+
+def agreeing(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows i, j no veto parts."""
+    ok = (g["facts"][i] == g["facts"][j]) & (np.abs(g["size"][i] - g["size"][j]) <= SIZE_SLACK)
+    ok &= (g["kind"][i] == g["kind"][j]) | (g["kind"][i] < 0) | (g["kind"][j] < 0)
+    for name in ("brand", "code"):
+        ok &= (g[name][i] == g[name][j]) | (g[name][i] == "") | (g[name][j] == "")
+    one, two = g["series"][i], g["series"][j]
+    both = (one != "") & (two != "")
+    same = np.where(both, one == two, (g["code"][i] == g["code"][j]) & (g["code"][i] != ""))
+    for at in np.flatnonzero(ok & both & ~same).tolist():
+        same[at] = same_line(one[at], two[at])
+    return ok & same
+
+
+def mutual_neighbours(entries: DataFrame, n: int, k: int, tile_rows: int) -> DataFrame:
+    """``a, b``: entries that are among each other's ``k`` nearest that no veto parts."""
+    spark = entries.sparkSession
+    texts = sorted({r[0] for r in hashed_rows(entries.select("text"), n, TRAINING_ROWS).collect()})  # about TRAINING_ROWS rows
+    encoder = spark.sparkContext.broadcast(Encoder(texts_by_word(entries), n).train([t.split() for t in texts]))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            v = encoder.value(frame["line"].tolist()).astype(np.float16)
-            yield frame.assign(vec=[r.tobytes() for r in v])
-
-    fields = "line string, brand string, series string, kind int, code string, vec binary"
-    coded = materialize(lines.mapInPandas(encode, fields), "coded")
-    unpack = lambda column: np.frombuffer(b"".join(column), np.float16).reshape(-1, DIM).astype(np.float32)
-    lists = int(np.clip(n / LIST_ROWS, 1, MAX_LISTS))
-    sample = coded.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(65_536, 40 * lists)).collect()
-    centroids = _centroids(unpack([r[0] for r in sample]), min(lists, len(sample)))
+            yield frame.drop(columns="text").assign(vec=_packed(encoder.value([t.split() for t in frame["text"]])))
+
+    facts = F.xxhash64("part", "pack", "colour", "size_kind").alias("facts")
+    fields = "id string, brand string, series string, kind int, code string, size double, facts bigint, vec binary"
+    coded = entries.select("id", "text", "brand", "series", "kind", "code", "size", facts)
+    coded = materialize(coded.mapInPandas(encode, fields), "coded")
+    lists = int(max(1, min(MAX_LISTS, n / LIST_ROWS)))
+    sample = sorted(r[0] for r in hashed_rows(coded.select("vec"), n, CENTROID_ROWS * lists).collect())  # about CENTROID_ROWS rows a list
+    centroids = _centroids(_unpacked(sample), min(lists, len(sample)))
     sent = spark.sparkContext.broadcast(centroids)
-    probes = tuned_probes(coded, centroids, near, unpack)
+    probes = tuned_probes(coded, centroids, n)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = sent.value
         for frame in frames:
-            s = unpack(frame["vec"]) @ c.T
-            order = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield frame.assign(probed=list(order))
+            s = _unpacked(frame["vec"]) @ c.T
+            yield frame.assign(probed=list(_nearest(s, max(probes, MEMBER_LISTS)).astype(np.int32)))
 
     posted = coded.mapInPandas(assign, f"{fields}, probed array<int>").select("*", F.posexplode("probed").alias("nth", "list")).drop("probed")
-    # a line is a member of its first list and a query in all it probes; long lists are cut into tiles of members
-    lengths = {r[0]: r[1] for r in posted.where("nth = 0").groupBy("list").count().collect()}  # one row per list
-    long = {k: -(-v // tile_rows) for k, v in lengths.items() if v > tile_rows}
-    posted = directed_tiles(posted.withColumn("member", F.col("nth") == 0), "list", long, "member", "line")
+    # an entry is a member of its first lists and a query in those it probes; long lists are cut into tiles of members
+    posted = posted.withColumn("member", F.col("nth") < MEMBER_LISTS).withColumn("query", F.col("nth") < probes)
+    lengths = {r[0]: r[1] for r in posted.where("member").groupBy("list").count().collect()}  # one row per list
+    long = {key: -(-v // tile_rows) for key, v in lengths.items() if v > tile_rows}
+    posted = directed_tiles(posted.drop("nth"), "list", long, "member", "id")
 
     def search(group: pa.Table) -> pa.Table:
-        g = {c: np.array(group.column(c).to_pylist(), dtype=object if c in ("line", "brand", "series", "code") else None) for c in group.column_names if c != "vec"}
-        x = unpack(group.column("vec").to_pylist())
+        strings = ("id", "brand", "series", "code")
+        g = {c: np.array(group.column(c).to_pylist(), dtype=object if c in strings else None) for c in group.column_names if c != "vec"}
+        x = _unpacked(group.column("vec").to_pylist())
         from_side, to_side = divmod(int(g["tile"][0]), 65536)
-        queries, members = np.flatnonzero(g["side"] == from_side), np.flatnonzero(g["member"] & (g["side"] == to_side))
-        a, b = [], []
-        for at in range(0, len(queries) if len(members) else 0, 1024):
-            q = queries[at : at + 1024]
-            i, j = np.nonzero(x[q] @ x[members].T >= near)
-            i, j = q[i], members[j]
-            ok = (g["line"][i] != g["line"][j]) & ((g["kind"][i] == g["kind"][j]) | (g["kind"][i] < 0) | (g["kind"][j] < 0))
+        queries, members = np.flatnonzero(g["query"] & (g["side"] == from_side)), np.flatnonzero(g["member"] & (g["side"] == to_side))
+        members = members[np.argsort(g["facts"][members], kind="stable")]
+        of = g["facts"][members]
+        a, b, sims = [], [], []
+        # only members whose plain facts are the query's are compared: runs of the sorted members
+        lo, hi = np.searchsorted(of, g["facts"][queries], "left"), np.searchsorted(of, g["facts"][queries], "right")
+        size = hi - lo
+        for at in range(0, len(queries), 4096):
+            m = size[at : at + 4096]
+            i = np.repeat(queries[at : at + 4096], m)
+            j = members[np.repeat(lo[at : at + 4096], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)]
+            i, j = i[i != j], j[i != j]
+            ok = agreeing(g, i, j)
             i, j = i[ok], j[ok]
-            ok = (g["brand"][i] == g["brand"][j]) | (g["brand"][i] == "") | (g["brand"][j] == "")
-            for p, r in zip(i[ok].tolist(), j[ok].tolist()):
-                one, two = g["series"][p], g["series"][r]
-                if same_line(one, two) if one and two else g["code"][p] == g["code"][r] != "":
-                    a.append(g["line"][p])
-                    b.append(g["line"][r])
-        return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    directed = posted.groupBy("list", "tile").applyInArrow(search, "a string, b string").distinct()
-    both = directed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count()
-    return both.where("count = 2").select("a", "b")
-
-
-def tuned_probes(coded: DataFrame, centroids: np.ndarray, near: float, unpack) -> int:  # noqa: ANN001
-    """The least power of two of probed lists with which the exact neighbours of a sample of lines are found."""
-    sample = coded.select("vec").orderBy(F.xxhash64("line", F.lit(3)), "line").limit(TUNING_ROWS).collect()
-    queries = unpack([r[0] for r in sample])
+            a.append(g["id"][i])
+            b.append(g["id"][j])
+            sims.append(np.einsum("ij,ij->i", x[i], x[j]))
+            # agreement goes both ways; where it outnumbers the neighbours that count, the least id holds the group together
+            starts = np.flatnonzero(np.r_[True, np.diff(i) != 0]) if len(i) else np.zeros(0, np.int64)
+            for start, end in zip(starts.tolist(), np.r_[starts[1:], len(i)].tolist()):
+                if end - start > k:
+                    a.append(g["id"][i[start : start + 1]])
+                    b.append(np.array([min(g["id"][j[start:end]])], dtype=object))
+                    sims.append(np.array([HUB], np.float32))
+        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        return pa.table([pa.array(flat(a, object), pa.string()), pa.array(flat(b, object), pa.string()), pa.array(flat(sims, np.float32), pa.float32())], names=["a", "b", "s"])
+
+    found = posted.groupBy("list", "tile").applyInArrow(search, "a string, b string, s float")
+    # a pair that shares several lists is found in each
+    nearest = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.round("s", 5)).alias("minus"), "b")))), 1, k)
+    directed = found.groupBy("a").agg(nearest.alias("e")).select("a", F.explode("e").alias("e")).select("a", F.col("e.b").alias("b"), (F.col("e.minus") <= -HUB).alias("hub"))
+    directed = directed.groupBy("a", "b").agg(F.max("hub").alias("hub"))
+    both = directed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hub").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("hub").alias("hub"))
+    return both.where("n = 2 or hub").select("a", "b")
+
+
+def hashed_rows(rows: DataFrame, n: int, want: int) -> DataFrame:
+    """About ``want`` of ``n`` rows, by the hash of their first column; filtered where they are."""
+    return rows if n <= want else rows.where(F.xxhash64(rows.columns[0]) < F.lit(int(want / n * 2**64) - 2**63))
+
+
+def tuned_probes(coded: DataFrame, centroids: np.ndarray, n: int) -> int:
+    """The least number of probed lists with which the exact nearest neighbours of a sample are found."""
+    sample = [r[0] for r in hashed_rows(coded.select("vec"), n, TUNING_ROWS).collect()]
+    queries = _unpacked(sample) if sample else np.zeros((0, DIM), np.float32)
     rank = np.argsort(np.argsort(-(queries @ centroids.T), axis=1, kind="stable"), axis=1)
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(rank.shape[1], np.int64)
         for frame in frames:
-            x = unpack(frame["vec"])
-            own = (x @ centroids.T).argmax(axis=1)
+            x = _unpacked(frame["vec"])
             s = queries @ x.T
-            q, j = np.nonzero((s >= near) & (s < 0.999))
-            seen += np.bincount(rank[q, own[j]], minlength=len(seen))
-        hit = np.flatnonzero(seen)
-        yield pd.DataFrame({"place": hit, "n": seen[hit]})
-
-    counts = {r[0]: r[1] for r in coded.select("vec").mapInPandas(exact, "place bigint, n bigint").groupBy("place").agg(F.sum("n")).collect()}  # one row per list
+            take = min(EXACT + 1, len(x))
+            near = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            own = _nearest(x @ centroids.T, MEMBER_LISTS)
+            q = np.repeat(np.arange(len(queries)), take)
+            near = near.ravel()
+            yield pd.DataFrame({"q": q, "s": s[q, near], "place": rank[q[:, None], own[near]].min(axis=1)})
+
+    order = W.partitionBy("q").orderBy(F.desc("s"), "place")
+    best = coded.select("vec").mapInPandas(exact, "q int, s float, place int").withColumn("nth", F.row_number().over(order)).where(F.col("nth").between(2, EXACT + 1))  # the first is the query itself
+    counts = {r[0]: r[1] for r in best.groupBy("place").count().collect()}  # one row per list
     total, probes = sum(counts.values()), 1
-    while probes < len(centroids) and sum(v for k, v in counts.items() if k < probes) < TUNING_RECALL * total:
-        probes *= 2
+    while probes < len(centroids) and sum(v for place, v in counts.items() if place < probes) < TUNING_RECALL * total:
+        probes += 1
     return min(probes, len(centroids))
