@@ -97,3 +97,13 @@ def test_one_product_with_most_listings(spark, catalogue):
     hot = [(1000 + i, f"H{i:04d}", ["Quorvex Zilpadi lamp 30 cm red", "red Quorvex Zilpadi lamp, 300 mm - best seller"][i % 2], "Quorvex", ["Home", "Light", "Lamp"], None) for i in range(600)]
     found = groups(spark, catalogue + hot)
     assert found["H0000"] == {f"H{i:04d}" for i in range(600)} and found["I000"] == {f"I{i:03d}" for i in range(6)}
+
+
+def test_a_product_with_many_wordings_stays_whole(spark, catalogue):
+    """More differing listings of one product than neighbours count, and the other groups as they are without it."""
+    rng = np.random.default_rng(5)
+    talk = ["practical", "reliable", "charming", "sturdy", "narrow", "glossy", "modern", "tidy"]
+    hot = [(2000 + i, f"H{i:04d}", f"Quorvex Zilpadi lamp 30 cm red {' '.join(rng.choice(talk, 3))} a{i}", "Quorvex", ["Home", "Light", "Lamp"], ["Made by Quorvex, series Zilpadi."]) for i in range(150)]
+    found = groups(spark, catalogue + hot)
+    assert found["H0000"] == {f"H{i:04d}" for i in range(150)}
+    assert {k: v for k, v in found.items() if k[0] == "I"} == groups(spark, catalogue)
