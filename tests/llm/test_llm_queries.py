@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_query_runs(spark, name):
     df = Q.QUERIES[name](spark, DATA)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def documents():
