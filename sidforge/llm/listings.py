@@ -77,8 +77,8 @@ TUNING_ROWS = 512
 EXACT = 16
 TUNING_RECALL = 0.995
 LIST_ROWS = 512
-#: Nearest lists that an entry is a member of; as a query it looks into the probed ones.
-MEMBER_LISTS = 4
+#: Nearest lists that an entry is a member of; as a query it looks into the probed ones, which are as many at least.
+MEMBER_LISTS = 6
 #: Lists at most (of a million entries and more); longer lists are searched in tiles.
 MAX_LISTS = 4_096
 #: Rows per list that its centroid is fitted to.
@@ -639,4 +639,4 @@ def tuned_probes(coded: DataFrame, centroids: np.ndarray, n: int) -> int:
     total, probes = sum(counts.values()), 1
     while probes < len(centroids) and sum(v for place, v in counts.items() if place < probes) < TUNING_RECALL * total:
         probes += 1
-    return min(probes, len(centroids))
+    return min(max(probes, MEMBER_LISTS), len(centroids))
