@@ -16,20 +16,28 @@ from sidforge.llm.cells import cut_cells, hash_sample
 from sidforge.llm.graph import connected_components
 from sidforge.llm.tiles import paired_tiles
 from sidforge.llm.vectors16 import DOUBT, equal_vectors, exactly_similar, fingerprint, unpack_arrow, without_copies
-from sidforge.session import materialize
+from sidforge.session import materialize, remove_path, scratch_path
 
 DIMENSIONS = 32
 #: Iterations at most; fewer when the log likelihood of a row gains less than SETTLED.
 ITERATIONS, SETTLED = 10, 0.02
 RIDGE = 0.05
-#: Rows that the first mixture is fitted to, and each mixture that cuts a long component; every row is placed.
-FIT_ROWS = 8_192
-#: Rows of the fit per component at least, which bounds the grid of component numbers.
-ROWS_PER_COMPONENT = 8
+#: Rows by hash from which mixtures start; all rows then go into every iteration and into the criterion.
+START_ROWS = 8_192
+#: Starting rows per component at least, which bounds the grid of component numbers; those of up to TOGETHER components share their passes.
+ROWS_PER_COMPONENT, TOGETHER = 8, 256
+#: Iterations on the starting rows, before those on all rows.
+START_ITERATIONS = 5
 #: A vector belongs to every component whose joint log density is within so many nats of its best one, and to its three best within eight times that.
 MARGIN = 2.0
-#: A cell of more rows is cut by a mixture of its own; one that doesn't fall apart is compared in pairs of tiles of so many rows.
-CELL_ROWS = 16_384
+#: A cell of more rows is cut by a mixture of its own, with PARTS components for so many rows, where it is compared; one that doesn't fall apart is compared whole.
+CELL_ROWS, PARTS = 16_384, 32
+#: Rows of a component that the number of components of the mixture that parts the rows aims at, and components of it at most.
+PLACE_ROWS, MAX_PLACES = 3_000, 4_096
+#: A cell of more rows is cut before it goes to a task; one that doesn't fall apart is compared in pairs of tiles of half as many rows.
+TASK_ROWS = 196_608
+#: Cuts of a cell, one within the other, where it is compared. Cosines in memory at once.
+DEPTH, BLOCK_CELLS = 4, 4_194_304
 TYPICAL = 3
 LANES = 32
 
@@ -68,7 +76,8 @@ class Reduction:
         self.mean = sums[1 : dim + 1] / n
         covariance = sums[dim + 1 :].reshape(dim, dim) / n - np.outer(self.mean, self.mean)
         self.scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
-        _, vectors = np.linalg.eigh(covariance / np.outer(self.scale, self.scale))
+        values, vectors = np.linalg.eigh(covariance / np.outer(self.scale, self.scale))
+        self.variances = values[::-1][:dimensions]
         self.axes = (vectors[:, ::-1][:, :dimensions] / self.scale[:, None]).astype(np.float32)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -98,8 +107,8 @@ class Mixture:
         """The term of each row that :meth:`scores` leaves out."""
         return -0.5 * np.einsum("ij,ij->i", z @ self.precision.astype(np.float32), z)
 
-    def step(self, z: np.ndarray, ridge: float) -> tuple[float, Mixture]:
-        """Log likelihood of the rows under this mixture, and the mixture after one iteration on them."""
+    def partial(self, z: np.ndarray) -> np.ndarray:
+        """What the rows add to the log likelihood and to the sums of an iteration, in one array."""
         k, d = self.means.shape
         likelihood, n, sums, second = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((d, d))
         for at in range(0, len(z), 1024):
@@ -114,11 +123,27 @@ class Mixture:
             n += r.sum(axis=0, dtype=np.float64)
             sums += r.T @ part
             second += part.T.astype(np.float64) @ part
+        return np.r_[likelihood, n, sums.ravel(), second.ravel()]
+
+    def width(self) -> int:
+        """Length of :meth:`partial`."""
+        k, d = self.means.shape
+        return 1 + k + k * d + d * d
+
+    def following(self, total: np.ndarray, rows: int, ridge: float) -> Mixture:
+        """The mixture after an iteration whose sums over ``rows`` rows are ``total``."""
+        k, d = self.means.shape
+        n, sums, second = total[1 : 1 + k], total[1 + k : 1 + k + k * d].reshape(k, d), total[1 + k + k * d :].reshape(d, d)
         # a component that lost its rows keeps its place
         means = np.where((n > 1e-3)[:, None], sums / np.maximum(n, 1e-9)[:, None], self.means)
-        covariance = (second - (means.T * n) @ means) / len(z) + ridge * np.eye(d)
+        covariance = (second - (means.T * n) @ means) / rows + ridge * np.eye(d)
         weights = np.maximum(n, 1e-6)
-        return likelihood, Mixture(weights / weights.sum(), means, covariance)
+        return Mixture(weights / weights.sum(), means, covariance)
+
+    def step(self, z: np.ndarray, ridge: float) -> tuple[float, Mixture]:
+        """Log likelihood of the rows under this mixture, and the mixture after one iteration on them."""
+        total = self.partial(z)
+        return float(total[0]), self.following(total, len(z), ridge)
 
     def information(self, likelihood: float, n: int) -> float:
         """Bayesian information criterion; smaller is better."""
@@ -147,31 +172,94 @@ class Seeds:
         return self.z[self.rows[:k]].astype(np.float64)
 
 
+def _started(z: np.ndarray, seeds: Seeds, k: int, iterations: int) -> tuple[float, Mixture]:
+    """Log likelihood and mixture of ``k`` seeded components (fewer for lack of rows) after the iterations on ``z``."""
+    spread, means = np.maximum(z.var(axis=0, dtype=np.float64), 1e-6), seeds.first(k)
+    current, last = Mixture(np.full(len(means), 1 / len(means)), means, np.diag(spread) * (1.0 if k == 1 else 0.3)), -np.inf
+    for _ in range(iterations):
+        likelihood, following = current.step(z, RIDGE * float(spread.mean()))
+        if likelihood - last < SETTLED * len(z):
+            break
+        current, last = following, likelihood
+    return likelihood, current
+
+
+def _grid(rows: int) -> list[int]:
+    """Numbers of components: 1 and, doubling, 16, 32, ... as far as there are rows."""
+    return [1] + [16 << i for i in range(32) if 16 << i <= rows / ROWS_PER_COMPONENT]
+
+
 def fit_mixture(z: np.ndarray, iterations: int = ITERATIONS) -> tuple[Mixture, list[tuple[int, float]]]:
     """The mixture of least information criterion for the reduced rows ``z``, and the criterion of each number of components tried.
 
     Tried are 1 and, doubling, 16, 32, ..., until beyond 64 the criterion has risen or there are too few rows for more.
     """
     z = np.ascontiguousarray(z, dtype=np.float32)
-    spread = np.maximum(z.var(axis=0, dtype=np.float64), 1e-6)
-    seeds, best, scores, k = Seeds(z), None, [], 1
-    while k == 1 or k <= len(z) / ROWS_PER_COMPONENT:
-        means = seeds.first(k)
-        current, last = Mixture(np.full(len(means), 1 / len(means)), means, np.diag(spread) * (1.0 if k == 1 else 0.3)), -np.inf
-        for _ in range(iterations):
-            likelihood, following = current.step(z, RIDGE * float(spread.mean()))
-            if likelihood - last < SETTLED * len(z):
-                break
-            current, last = following, likelihood
-        scores.append((len(means), current.information(likelihood, len(z))))
+    seeds, best, scores = Seeds(z), None, []
+    for k in _grid(len(z)):
+        likelihood, current = _started(z, seeds, k, iterations)
+        scores.append((len(current.means), current.information(likelihood, len(z))))
         if best is None or scores[-1][1] < best[1]:
             best = current, scores[-1][1]
-        elif k > 64 or len(means) < k:
+        elif k > 64 or len(current.means) < k:
             break
-        k = max(16, 2 * k)
     return best[0], scores
 
 
+def starting_mixtures(z: np.ndarray, sizes: list[int] | None = None, iterations: int = START_ITERATIONS) -> list[Mixture]:
+    """A mixture of every number of components of ``sizes`` (the grid), to start from; distinct rows may end it."""
+    z = np.ascontiguousarray(z, dtype=np.float32)
+    seeds, found = Seeds(z), []
+    for k in sizes or _grid(len(z)):
+        found.append(_started(z, seeds, k, iterations)[1])
+        if len(found[-1].means) < k:
+            break
+    return found
+
+
+def fit_to_all(
+    base: DataFrame, reduce: Reduction, starts: list[Mixture], n: int, dim: int, places: int = 1, iterations: int = ITERATIONS
+) -> tuple[Mixture, list[tuple[int, float]], Mixture]:
+    """As :func:`fit_mixture`, on all ``n`` rows of ``base``: likelihoods and the sums of every iteration come from all of them, one pass each.
+
+    Mixtures of up to TOGETHER components share two passes; then each further one has two, until the criterion has risen.
+    The best one has passes of its own until it settles. The last given is the least one of at least ``places`` components
+    (else the largest), after two passes or more.
+    """
+    # standardised components have variance 1, so the reduced rows have these
+    ridge = RIDGE * float(np.maximum(reduce.variances, 1e-6).mean())
+
+    def passed(mixtures: list[Mixture]) -> tuple[list[float], list[Mixture]]:
+        ends = np.cumsum([m.width() for m in mixtures])
+
+        def partial(x: np.ndarray) -> np.ndarray:
+            z = reduce(x)
+            return np.concatenate([m.partial(z) for m in mixtures])
+
+        totals = np.split(_summed(base, partial, dim, int(ends[-1])), ends[:-1])
+        return [float(t[0]) for t in totals], [m.following(t, n, ridge) for m, t in zip(mixtures, totals)]
+
+    tried, scores = [], []
+    few = [m for m in starts if len(m.means) <= TOGETHER]
+    for batch in [few, *([m] for m in starts[len(few) :])]:
+        first = passed(batch)[1]
+        tried += zip(first, *passed(first))
+        scores = [(len(m.means), m.information(likelihood, n)) for m, likelihood, _ in tried]
+        least = int(np.argmin([s for _, s in scores]))
+        if least < len(tried) - 1:
+            break
+    current, last, following = tried[least]
+    for _ in range(iterations - 2):
+        (likelihood,), (further,) = passed([following])
+        if likelihood - last < SETTLED * n:
+            break
+        current, last, following = following, likelihood, further
+    if len(current.means) >= places:
+        return current, scores, current
+    at = next((i for i, m in enumerate(starts) if len(m.means) >= places), len(starts) - 1)
+    return current, scores, tried[at][2] if at < len(tried) else passed(passed([starts[at]])[1])[1][0]
+
+
 def memberships(scores: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
     """Row and component of every membership: components within ``margin`` of the row's best one, and of its three best those within eight times that."""
     best = scores.max(axis=1, keepdims=True)
@@ -183,6 +271,52 @@ def memberships(scores: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray,
     return np.nonzero(taken)
 
 
+def _joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Group numbers after the groups of rows ``a`` and ``b`` are joined; a number is the group's first row."""
+    a, b = group[a], group[b]
+    while (a != b).any():
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(group, np.maximum(a, b), np.minimum(a, b))
+        # group numbers are rows; follow them to rows that stand for themselves
+        while (group[group] != group).any():
+            group = group[group]
+        a, b = group[a], group[b]
+    return group
+
+
+def own_mixture(x: np.ndarray, k: int, iterations: int = 4) -> tuple[Reduction, Mixture] | None:
+    """Rotation and mixture of at most ``k`` components of the rows of one cell; all go into every iteration. None when the cell has one place only."""
+    own = Reduction(sum(moments(x[at : at + 4096]) for at in range(0, len(x), 4096)), x.shape[1], x.shape[1])
+    z = np.concatenate([own(x[at : at + 4096]) for at in range(0, len(x), 4096)])
+    # places to start from are drawn among rows at equal distances
+    mixture = _started(z, Seeds(np.ascontiguousarray(z[:: max(1, len(z) // (64 * k))])), k, iterations)[1]
+    return (own, mixture) if len(mixture.means) > 1 else None
+
+
+def _placed(model: tuple[Reduction, Mixture], x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(at, *memberships(model[1].scores(model[0](x[at : at + 4096])), margin)) for at in range(0, len(x), 4096)]
+    return np.concatenate([at + r for at, r, _ in parts]), np.concatenate([c for _, _, c in parts])
+
+
+def cell_groups(x: np.ndarray, threshold: float, cell_rows: int = CELL_ROWS, margin: float = MARGIN, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`linked_groups`; more than ``cell_rows`` rows are cut by a mixture of their own, and every two rows that share a last part are compared."""
+    model = own_mixture(x, int(np.ceil(PARTS * len(x) / cell_rows))) if len(x) > cell_rows and depth else None
+    if model is None:
+        return linked_groups(x, threshold)
+    rows, parts = _placed(model, x, margin)
+    if np.bincount(parts).max() > 0.9 * len(x):
+        return linked_groups(x, threshold)
+    order = np.argsort(parts, kind="stable")
+    group, unsure = np.arange(len(x)), []
+    for own in np.split(rows[order], np.flatnonzero(np.diff(parts[order])) + 1):
+        linked, doubtful = cell_groups(x[own], threshold, cell_rows, margin, depth - 1)
+        moved = np.flatnonzero(linked != np.arange(len(own)))
+        group = _joined(group, own[moved], own[linked[moved]])
+        unsure.append(own[doubtful])
+    unsure = np.unique(np.concatenate(unsure), axis=0)
+    return group, unsure[group[unsure[:, 0]] != group[unsure[:, 1]]]
+
+
 def linked_groups(x: np.ndarray, threshold: float, first: np.ndarray | None = None, second: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each row: rows are linked when their cosine surely reaches ``threshold``, links carry over; and doubtful pairs.
 
@@ -192,7 +326,7 @@ def linked_groups(x: np.ndarray, threshold: float, first: np.ndarray | None = No
     group = np.arange(len(x))
     rows, others = (group.copy(), group.copy()) if first is None else (first, second)
     right = np.ascontiguousarray(x[others].T)
-    unsure = []
+    unsure, block = [], max(1, min(block, BLOCK_CELLS // max(1, len(others))))
     for at in range(0, len(rows), block):
         part = rows[at : at + block]
         start = at if first is None else 0
@@ -202,51 +336,59 @@ def linked_groups(x: np.ndarray, threshold: float, first: np.ndarray | None = No
         a, b = part[i], others[start + j]
         sure = s.reshape(-1)[hits] >= threshold + DOUBT
         unsure.append(np.stack([a[~sure & (a != b)], b[~sure & (a != b)]], axis=1))
-        a, b = group[a[sure]], group[b[sure]]
-        while (a != b).any():
-            a, b = a[a != b], b[a != b]
-            np.minimum.at(group, np.maximum(a, b), np.minimum(a, b))
-            # group numbers are rows; follow them to rows that stand for themselves
-            while (group[group] != group).any():
-                group = group[group]
-            a, b = group[a], group[b]
+        group = _joined(group, a[sure], b[sure])
     unsure = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
     return group, unsure[group[unsure[:, 0]] != group[unsure[:, 1]]]
 
 
-def similarity_clusters(vectors: DataFrame, full: DataFrame | None = None, threshold: float = 0.85, dim: int = 64, dimensions: int = DIMENSIONS, cell_rows: int = CELL_ROWS, margin: float = MARGIN) -> DataFrame:
+def similarity_clusters(
+    vectors: DataFrame, full: DataFrame | None = None, threshold: float = 0.85, dim: int = 64, dimensions: int = DIMENSIONS, cell_rows: int = CELL_ROWS, margin: float = MARGIN, task_rows: int = TASK_ROWS, start_rows: int = START_ROWS
+) -> DataFrame:
     """Cluster of every vector of ``usable_vectors``: ``id, cluster, density``.
 
-    A Gaussian mixture is fitted by expectation-maximisation to the standardised, reduced vectors: moments come from all
-    rows, the fit from about FIT_ROWS of them, chosen by hash; the number of components is that of least Bayesian
-    information criterion. Every vector joins its best component and the close ones (:func:`memberships`); a component of more
-    than ``cell_rows`` rows is cut by a mixture of its own, fitted to its rows alone, and so on. Every two vectors sharing
-    one of the last components are linked when their cosine reaches ``threshold`` (decided on the vectors of ``full`` where
-    the packed ones leave a doubt); linked vectors are one cluster, named by its smallest id. ``density`` is the first
-    mixture's log density. A vector similar to no other is a cluster of its own. Vectors that share none of the last
+    A Gaussian mixture is fitted by expectation-maximisation to the standardised, reduced vectors. Moments, the sums of its
+    iterations and the Bayesian information criterion that chooses the number of components come from all rows; about
+    ``start_rows`` of them, chosen by hash, only give places to start from. Where its components would be long, a mixture of
+    more components, as many as the rows ask for and fitted likewise, parts the vectors instead: the criterion tells what
+    describes them best, not what keeps comparisons few. Every vector joins its best component and the close ones
+    (:func:`memberships`); a component of more than ``cell_rows`` rows is cut by a mixture of its own, fitted to all its
+    rows in the task that compares them (:func:`cell_groups`), or before that when it has more than ``task_rows`` rows. Every
+    two vectors sharing one of the last components are linked when their cosine reaches ``threshold`` (decided on the vectors of
+    ``full`` where the packed ones leave a doubt); linked vectors are one cluster, named by its smallest id. ``density`` is the
+    first mixture's log density. A vector similar to no other is a cluster of its own. Vectors that share none of the last
     components are not compared; links of others may still join them.
 
-    Equal vectors are compared as one. A component that no mixture parts is compared in pairs of tiles, each a group of its
-    own. An empty input gives an empty result.
+    Equal vectors are compared as one. A component that no mixture parts is compared whole, or in pairs of tiles, each a group
+    of its own. An empty input gives an empty result.
     """
     spark = vectors.sparkSession
-    base = materialize(vectors.select("id", "vec"), "vectors")
+    base_path = scratch_path(spark, "vectors")
+    base = materialize(vectors.select("id", "vec"), path=base_path)
     n = base.count()
     if not n:
         return spark.createDataFrame([], "id string, cluster string, density double")
     copies = equal_vectors(base)
-    reduce = Reduction(_summed(base, moments, dim, 1 + dim + dim * dim), dim, min(dimensions, dim))
+    dimensions = min(dimensions, dim)
+    reduce = Reduction(_summed(base, moments, dim, 1 + dim + dim * dim), dim, dimensions)
 
     def fit_first(group: pa.Table) -> pa.Table:
         x = unpack_arrow(group.column("vec"), dim)
-        return pa.table([pa.array([pickle.dumps(fit_mixture(reduce(x[np.lexsort(x.T[: min(4, dim)])]))[0])], pa.binary())], names=["model"])
-
-    sample = hash_sample(base.select("vec"), n, FIT_ROWS).withColumn("one", F.lit(0))
-    fitted = sample.groupBy("one").applyInArrow(fit_first, "model binary").collect()  # one row
-    sent = spark.sparkContext.broadcast((reduce, pickle.loads(fitted[0][0]) if fitted else None))
+        z = reduce(x[np.lexsort(x.T[: min(4, dim)])])
+        return pa.table([pa.array([pickle.dumps([fit_mixture(z)[0]] if n <= start_rows else starting_mixtures(z, sizes))], pa.binary())], names=["models"])
+
+    places = next((k for k in (16 << i for i in range(32)) if k * PLACE_ROWS >= n or k >= MAX_PLACES))
+    sizes = sorted({*_grid(start_rows), *([places] if places * ROWS_PER_COMPONENT > start_rows else [])})
+    sample = hash_sample(base.select("vec"), n, max(start_rows, places * ROWS_PER_COMPONENT)).withColumn("one", F.lit(0))
+    started = sample.groupBy("one").applyInArrow(fit_first, "models binary").collect()  # one row
+    starts = pickle.loads(started[0][0]) if started else []
+    if n > start_rows and starts:
+        mixture, _, parting = fit_to_all(base, reduce, starts, n, dim, places)
+    else:
+        mixture = parting = starts[0] if starts else None
+    sent = spark.sparkContext.broadcast((reduce, mixture, parting))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reduce, mixture = sent.value
+        reduce, mixture, parting = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -254,35 +396,41 @@ def similarity_clusters(vectors: DataFrame, full: DataFrame | None = None, thres
                 scores = mixture.scores(z) if mixture else np.zeros((len(z), 1), np.float32)
                 top = scores.max(axis=1)
                 density = top + np.log(np.exp(scores - top[:, None]).sum(axis=1)) + (mixture.common(z) if mixture else 0.0)
-                rows, cells = memberships(scores, margin)
-                taken = part.take(pa.array(rows))
-                yield pa.record_batch([pa.array(1 + cells.astype(np.int64)), taken.column(0), taken.column(1), pa.array(density[rows].astype(np.float64)), pa.array(cells == scores.argmax(axis=1)[rows])], names=["cell", "id", "vec", "density", "home"])
+                rows, cells = memberships(scores if parting is mixture else parting.scores(z), margin)
+                ends = np.cumsum(np.bincount(rows, minlength=len(z)))
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(1 + cells.astype(np.int64)))
+                yield pa.record_batch([part.column(0), part.column(1), cells, pa.array(density.astype(np.float64))], names=["id", "vec", "cells", "density"])
 
     def refit(x: np.ndarray, rows: int) -> tuple[Reduction, Mixture] | None:
-        own = Reduction(moments(x), dim, min(dimensions, dim))
-        mixture = fit_mixture(own(x))[0]
-        return (own, mixture) if len(mixture.means) > 1 else None
-
-    def place(model: tuple[Reduction, Mixture], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(at, *memberships(model[1].scores(model[0](x[at : at + 4096])), margin)) for at in range(0, len(x), 4096)]
-        return np.concatenate([at + r for at, r, _ in parts]), np.concatenate([c for _, _, c in parts])
-
-    posted = without_copies(base, copies).select("id", "vec").mapInArrow(post, "cell bigint, id string, vec binary, density double, home boolean")
-    cells = cut_cells(posted.select("cell", "id", "vec"), refit, place, dim, cell_rows, FIT_ROWS)
-    settled = materialize(_linked(cells, full, threshold, dim, cell_rows, n), "settled")
-    labelled = posted.where("home").select("id", "density").join(settled, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"), "density")
-    if copies.isEmpty():
+        return own_mixture(x, int(np.ceil(PARTS * rows / task_rows)))
+
+    def partial(model: tuple[Reduction, Mixture], x: np.ndarray) -> np.ndarray:
+        return np.r_[len(x), model[1].partial(model[0](x))]
+
+    def following(model: tuple[Reduction, Mixture], total: np.ndarray) -> tuple[Reduction, Mixture]:
+        return model[0], model[1].following(total[1:], int(total[0]), RIDGE * float(np.maximum(model[0].variances, 1e-6).mean()))
+
+    placed = without_copies(base, copies).select("id", "vec").mapInArrow(post, "id string, vec binary, cells array<bigint>, density double")
+    placed = materialize(placed, "placed")
+    some = not copies.isEmpty()
+    others = materialize(base.select("id", fingerprint().alias("print")).join(copies, "print").where("id != representative").select("id", "representative"), "others") if some else None
+    remove_path(spark, base_path)
+    posted = placed.select(F.explode("cells").alias("cell"), "id", "vec")
+    cells = cut_cells(posted, refit, lambda model, x: _placed(model, x, margin), dim, task_rows, start_rows, partial=partial, following=following, rounds=2)
+    compare = lambda x: cell_groups(x, threshold, cell_rows, margin)
+    settled = materialize(_linked(cells, full, threshold, dim, compare, task_rows, n), "settled")
+    labelled = placed.select("id", "density").join(settled, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"), "density")
+    if not some:
         return labelled
     labelled = materialize(labelled, "labelled")
-    others = base.select("id", fingerprint().alias("print")).join(copies, "print").where("id != representative").select("id", "representative")
     theirs = others.join(labelled.withColumnRenamed("id", "representative"), "representative").select("id", "cluster", "density")
     return labelled.unionByName(theirs)
 
 
-def _linked(posted: DataFrame, full: DataFrame | None, threshold: float, dim: int, tile_rows: int, n: int) -> DataFrame:
+def _linked(posted: DataFrame, full: DataFrame | None, threshold: float, dim: int, compare: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], task_rows: int, n: int) -> DataFrame:
     """``id, cluster`` of the vectors that are linked within cells; the cluster is the smallest id."""
-    # the cells that stayed long come to the driver: at most (rows / tile_rows) of them
-    long = {r[0]: -(-r[1] // tile_rows) for r in posted.groupBy("cell").count().where(F.col("count") > tile_rows).collect()} if n > tile_rows else {}
+    # the cells that stayed long come to the driver: at most (rows / task_rows) of them
+    long = {r[0]: -(-2 * r[1] // task_rows) for r in posted.groupBy("cell").count().where(F.col("count") > task_rows).collect()} if n > task_rows else {}
     posted = paired_tiles(posted, "cell", long)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -293,7 +441,7 @@ def _linked(posted: DataFrame, full: DataFrame | None, threshold: float, dim: in
         side = group.column("side").to_numpy()[order]
         first, second = divmod(int(group.column("tile")[0].as_py()), 65536)
         # two sides of a long cell are compared with each other only; each has a tile of its own for the rest
-        linked, unsure = linked_groups(x, threshold) if first == second else linked_groups(x, threshold, np.flatnonzero(side == first), np.flatnonzero(side == second))
+        linked, unsure = compare(x) if first == second else linked_groups(x, threshold, np.flatnonzero(side == first), np.flatnonzero(side == second))
         other = np.flatnonzero(linked != np.arange(len(x)))
         a, b = np.r_[linked[other], unsure[:, 0]], np.r_[other, unsure[:, 1]]
         doubt = np.arange(len(a)) >= len(other)

@@ -6,6 +6,7 @@ from sidforge.llm import cells, graph, mixture
 from sidforge.llm import neighbours as N
 from sidforge.llm import permutations as P
 from sidforge.llm import vectors16 as V
+from sidforge.session import materialize
 
 SCHEMA = "pid string, row_no bigint, embedding array<float>"
 
@@ -209,3 +210,34 @@ def test_components(spark):
     assert {k: found[k] for k in "abcdxy"} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
     assert {found[f"n{i:03d}"] for i in range(61)} == {"n000"} and "q" not in found and "z" not in found
     assert graph.connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_mixture_comes_from_all_rows(spark):
+    """After an iteration over all rows the weighted mean of the components is the mean of all rows, which is 0 here; that of the starting rows isn't."""
+    x = clustered(np.random.default_rng(21), 60, 40, noise=0.3)
+    base = usable(spark, frame(spark, x)).select("id", "vec")
+    reduce = mixture.Reduction(mixture.moments(x), 16, 8)
+    z = reduce(x.astype(np.float32))
+    starts = mixture.starting_mixtures(z[:600])
+    best, scores, parting = mixture.fit_to_all(base, reduce, starts, len(x), 16, 32)
+    assert [k for k, _ in scores] == [1, 16, 32, 64] and np.abs(starts[-1].weights @ starts[-1].means).max() > 0.03
+    assert np.abs(best.weights @ best.means).max() < 1e-3 and parting.means.shape[0] >= 32 and np.abs(parting.weights @ parting.means).max() < 1e-3
+    value, further = best.step(z, mixture.RIDGE * float(reduce.variances.mean()))
+    assert value > starts[-1].step(z, 0.0)[0] and best.information(value, len(x)) <= min(s for _, s in scores)
+    assert further.step(z, 0.0)[0] - value < 2 * mixture.SETTLED * len(x)
+
+
+def test_cells_cut_before_and_within_tasks(spark):
+    x = clustered(np.random.default_rng(22), 60, 12, noise=0.05)
+    label = clusters(x, 0.85)
+    found = mixture.similarity_clusters(usable(spark, frame(spark, x)), None, 0.85, 16, 8, 30, task_rows=90, start_rows=200).collect()
+    assert {r["id"]: r["cluster"] for r in found} == {f"p{i:05d}": f"p{j:05d}" for i, j in enumerate(label)}
+    group, unsure = mixture.cell_groups(x.astype(np.float32), 0.85, 30)
+    assert (group == label).all() and len(unsure) == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    written = materialize(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before and written.count() == 7
