@@ -99,7 +99,8 @@ def cell_neighbours(x: np.ndarray, k: int, stride: int = ROWS_PER_PIVOT, candida
             continue
         column = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
         cosine, which = np.full((len(q), width), -2.0, np.float32), np.full((len(q), width), -1, np.int64)
-        cosine[own, column] = np.einsum("ij,ij->i", x[q[own]], x[other])
+        near, ends = x[other], np.cumsum(counts)
+        cosine[own, column] = np.concatenate([near[end - c : end] @ x[i] for i, c, end in zip(q, counts, ends)])
         which[own, column] = other
         take = min(k, width)
         best = np.argpartition(-cosine, take - 1, axis=1)[:, :take]

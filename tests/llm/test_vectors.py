@@ -70,6 +70,14 @@ def test_neighbours_recall(spark, options):
     assert all(r["id"] != r["neighbour"] and 1 <= r["rank"] <= 5 for r in found) and len({(r["id"], r["rank"]) for r in found}) == len(found)
 
 
+def test_neighbours_recall_with_many_pivots(spark):
+    """Neighbours still share a cell when the pivots are many; with three cells a vector a twentieth of them was lost here."""
+    x = clustered(np.random.default_rng(31), 3_200, 2, dim=64, noise=0.12)
+    found = {(r["id"], r["neighbour"]) for r in N.nearest_neighbours(usable(spark, frame(spark, x), 64), 1, 64, aim_rows=25).collect()}
+    assert len(found & {(f"p{i:05d}", f"p{i ^ 1:05d}") for i in range(len(x))}) >= 0.98 * len(x)
+    assert N.pivots_and_posts(160_000) == (64, 3) and N.pivots_and_posts(3_000_000) == (1_600, 4) and N.pivots_and_posts(10**8) == (4_096, 4)
+
+
 def test_footrule_ranks_candidates():
     """With few candidates the rerank sees only those of least footrule distance, and most true neighbours are among them."""
     x = clustered(np.random.default_rng(11), 20, 100).astype(np.float32)
